@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from pyspark.sql import functions as F
+
+from . import exact_dedup, topk, warc
+
+
+def op1_warc(spark, sf_dir):
+    """Every page as a WARC record in seekable Zstandard bundles, read back from them."""
+    archive = warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_archive(archive, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_topk(spark, sf_dir):
+    """The five best candidates for each vector whose vec_id is divisible by 50."""
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
 def op7_exact_dedup(spark, sf_dir):
@@ -11,10 +24,31 @@ def op7_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_topk": op2_topk,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLE = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS first FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM q""",
+    "op2_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
