@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, topk, warc
+from . import exact_dedup, simhash, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -18,6 +18,11 @@ def op2_topk(spark, sf_dir):
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op3_simhash(spark, sf_dir):
+    """SimHash of 3-word shingles; documents within 3 bits are linked."""
+    return simhash.near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, radius=3)
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Exact dedup of documents: of equal texts the one with the largest doc_id stays."""
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
@@ -26,6 +31,7 @@ def op7_exact_dedup(spark, sf_dir):
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
+    "op3_simhash": op3_simhash,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
