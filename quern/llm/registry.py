@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, topk, warc
+from . import exact_dedup, packing, simhash, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -23,6 +24,11 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, radius=3)
 
 
+def op4_packing(spark, sf_dir):
+    """Documents as sequences of at most 2048 tokens."""
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Exact dedup of documents: of equal texts the one with the largest doc_id stays."""
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
@@ -32,6 +38,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
