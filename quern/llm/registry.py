@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, topk, warc
+from . import exact_dedup, packing, pieces, simhash, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -34,12 +34,18 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
 
 
+def op8_pieces(spark, sf_dir):
+    """SentencePiece ids and decoded text of every document, as digests."""
+    return pieces.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pieces": op8_pieces,
 }
 
 ORACLE = {
