@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, pieces, simhash, topk, warc
+from . import exact_dedup, langid, packing, pieces, simhash, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -29,6 +29,11 @@ def op4_packing(spark, sf_dir):
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_langid(spark, sf_dir):
+    """Language of every document, learned from the labelled documents that are not held out."""
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Exact dedup of documents: of equal texts the one with the largest doc_id stays."""
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
@@ -44,6 +49,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pieces": op8_pieces,
 }
