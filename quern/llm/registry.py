@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, pieces, simhash, topk, warc
+from . import exact_dedup, langid, license_scan, packing, pieces, simhash, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -44,6 +44,11 @@ def op8_pieces(spark, sf_dir):
     return pieces.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_license_scan(spark, sf_dir):
+    """Licence notices of every document, by Dice coefficient of 0.8 or more."""
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
@@ -52,9 +57,11 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pieces": op8_pieces,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE = {
+    "op10_license_scan": license_scan.scan_sql(),
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         q AS (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS first FROM p)
