@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, license_scan, packing, pieces, simhash, topk, warc
+from . import exact_dedup, langid, license_scan, line_dedup, packing, pieces, simhash, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -34,6 +34,11 @@ def op6_langid(spark, sf_dir):
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    """Documents without the line templates that recur across documents, as digests."""
+    return line_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Exact dedup of documents: of equal texts the one with the largest doc_id stays."""
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="largest")
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pieces": op8_pieces,
