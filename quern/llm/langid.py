@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import byte_lengths, small_batches
 
@@ -172,7 +173,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", lang_name
                         names[i], score[i] = "und", 0.0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*part.schema.names, lang_name, score_name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{lang_name}` string", f"`{score_name}` double"])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

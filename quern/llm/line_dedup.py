@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches, written
 
@@ -168,7 +169,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
     drops = recurring(rows, **settings).groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("line").alias("drop_lines"))
     both = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_lines long, n_dropped long"])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches):
         for batch in batches:

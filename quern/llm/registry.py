@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, license_scan, line_dedup, packing, pieces, simhash, topk, warc
+from . import exact_dedup, langid, license_scan, line_dedup, packing, pieces, simhash, suffix_dedup, topk, warc
 
 
 def op1_warc(spark, sf_dir):
@@ -49,6 +49,11 @@ def op8_pieces(spark, sf_dir):
     return pieces.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    """Documents without byte strings of 50 bytes that documents with smaller ids hold, as digests."""
+    return suffix_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_license_scan(spark, sf_dir):
     """Licence notices of every document, by Dice coefficient of 0.8 or more."""
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pieces": op8_pieces,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import components, small_batches, written
 
@@ -177,13 +178,49 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     component_id is the smallest doc_id among documents whose prints are linked by steps of at most `radius` bits;
     null only where no document of the component has an id.
     """
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    joined = near_roots(prints.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
+    firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return joined.select("print", "root").join(firsts, "root").select("print", "component_id")
+
+
+def near_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(print, first) with the smallest print of each one's component as root."""
     dealt = distinct.select(F.explode(_shard_keys(F.col("print"), radius)).alias("shard"), "print").repartition("shard").sortWithinPartitions("shard", "print")
     links = dealt.mapInArrow(_shards(radius), "a long, b long")
     roots = components(links)
-    joined = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.select("print", "root").join(firsts, "root").select("print", "component_id")
+    return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
+def with_prints(docs: DataFrame, text_col: str = "text", width: int = 3, name: str = "print") -> DataFrame:
+    """docs with their fingerprints as a further column; other columns pass through."""
+
+    def run(batches):
+        for batch in batches:
+            for part in small_batches(batch, text_col):
+                texts = part.column(text_col).cast(pa.binary()).to_pylist()
+                prints = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the smallest id, nulls last.
+
+    Of rows that repeat that id, one with the smallest hash of its text stays. Other columns pass through; print and
+    tag must not be among them.
+    """
+    marked = written(with_prints(docs, text_col, width)).withColumn("tag", F.xxhash64(text_col))
+    slim = marked.select(F.col(id_col).cast("long").alias("doc_id"), "print", "tag")
+    roots = near_roots(slim.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
+    # the first row of each print, then of each group of prints
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "print"))
+    best = slim.groupBy("print").agg(first.alias("first")).join(roots.select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    best = best.select(F.col("doc_id").alias("best_id"), F.col("tag").alias("best_tag"), F.col("print").alias("best_print"))
+    same = (F.col("print") == F.col("best_print")) & (F.col("tag") == F.col("best_tag")) & F.col(id_col).cast("long").eqNullSafe(F.col("best_id"))
+    kept = marked.join(best, same, "left_semi")
+    # equal rows, if any, are told apart by nothing: one of them stays
+    return kept.dropDuplicates([id_col, "print", "tag"]).drop("print", "tag")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
