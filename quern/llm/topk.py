@@ -66,7 +66,7 @@ def _slice_scores(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, highest score first, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]
 
 
 HEADS = "qb long, scores binary, low binary"
@@ -129,6 +129,8 @@ def _phase23(k: int):
             for qb, qi, qd, qm, ci, cd, cm, cut, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 (qids, q), (cids, c) = _unpack(qi, qd, qm), _unpack(ci, cd, cm)
                 tau, low = np.frombuffer(cut), np.frombuffer(low).reshape(-1, SLICES)
+                # scores beyond a long tie at the nearest one, so the cutoff does too
+                tau = np.where(tau < -(2.0**63), -np.inf, np.minimum(tau, 2.0**63))
                 parts = _slice_scores(q, c)
                 exact = parts[0].dtype != object
                 slack = 0.5 if exact else np.maximum(1.0, np.abs(np.where(np.isfinite(tau), tau, 0)) * 1e-9)
@@ -143,17 +145,18 @@ def _phase23(k: int):
                 scores = sum(p[at_q, at_c] for p in parts)
                 enough = scores.astype(float) >= (tau - slack if exact else tau - 2 * slack)[at_q]
                 at_q, at_c, scores = at_q[enough], at_c[enough], scores[enough]
+                scores = scores.astype(np.int64) if exact else np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in scores], np.int64)
                 edges = np.searchsorted(at_q, np.arange(len(qids) + 1))
                 for i in range(len(qids)):
                     a, b = edges[i : i + 2]
                     if a == b:
                         continue
                     key = (qb, i)
-                    ids, points, _ = held.get(key, (np.zeros(0, np.int64), np.zeros(0, scores.dtype), 0))
+                    ids, points, _ = held.get(key, (np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
                     ids, points = np.concatenate([ids, cids[at_c[a:b]]]), np.concatenate([points, scores[a:b]])
                     best = _best(points, ids, k)
                     held[key] = (ids[best], points[best], qids[i])
-        rows = [(int(q), (qb << 16) + i, int(v), max(-(2**63), min(2**63 - 1, int(s)))) for (qb, i), (ids, points, q) in held.items() for v, s in zip(ids, points, strict=True)]
+        rows = [(int(q), (qb << 16) + i, int(v), int(s)) for (qb, i), (ids, points, q) in held.items() for v, s in zip(ids, points, strict=True)]
         for at in range(0, len(rows), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 100_000], strict=True), FOUND.types, strict=True)], schema=FOUND)
 
@@ -166,7 +169,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_co
     is_query: condition on id_col that marks queries; candidates are all rows but those with the query's id. Rows
     whose id or vector is null, or whose vector holds null, NaN or infinite components, take no part. Vectors of
     different lengths are padded with zeros, so an empty one scores 0. Ties go to the smaller id; rows that repeat an
-    id are each a candidate and each a query. Scores beyond a long are given as the nearest long. Other columns are
+    id are each a candidate and each a query. Scores beyond a long are given, and ranked, as the nearest long. Other columns are
     not read.
     """
     x = F.col("embedding")
