@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .shared import small_batches, written
 
 MASK = "<*>"
-VARIABLE = re.compile(r"\S*(?:[0-9]|://|@)\S*")
+VARIABLE = re.compile(r"[0-9@]|://")
 MIN_TOKENS = 3
 MIN_DOCS = 3
 DEPTH, DEEP = 3, 8
@@ -31,7 +31,8 @@ HOT_LEAF = 20_000
 
 def masked(line: str) -> list[str]:
     """Tokens of a line; those with digits, addresses or links are variable."""
-    return VARIABLE.sub(MASK, line).split()
+    tokens = line.split()
+    return [MASK if VARIABLE.search(t) else t for t in tokens] if VARIABLE.search(line) else tokens
 
 
 def _hash(tokens: list[str], count: int) -> int:
@@ -122,8 +123,8 @@ def _templates(similarity: float):
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, hot_leaf: int = HOT_LEAF) -> DataFrame:
     """(doc_id, line): masked lines to drop from each document of (doc_id, text)."""
-    lines = docs.mapInArrow(_lines(min_tokens), "doc_id long, line long, leaf long, deep long, tokens string")
-    slim = written(lines.select("doc_id", "line", "leaf", "deep"))
+    lines = written(docs.mapInArrow(_lines(min_tokens), "doc_id long, line long, leaf long, deep long, tokens string"))
+    slim = lines.select("doc_id", "line", "leaf", "deep")
     counts = slim.groupBy("leaf", "deep", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     counts = written(counts)
     # a leaf with a single line is its own template; the others need their tokens
