@@ -207,20 +207,16 @@ def with_prints(docs: DataFrame, text_col: str = "text", width: int = 3, name: s
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id, nulls last.
 
-    Of rows that repeat that id, one with the smallest hash of its text stays. Other columns pass through; print and
-    tag must not be among them.
+    Of rows that repeat that id one stays. Other columns pass through; print and row_key must not be among them.
     """
-    marked = written(with_prints(docs, text_col, width)).withColumn("tag", F.xxhash64(text_col))
-    slim = marked.select(F.col(id_col).cast("long").alias("doc_id"), "print", "tag")
+    # keys of rows are fixed by being written down
+    marked = written(with_prints(docs, text_col, width).withColumn("row_key", F.monotonically_increasing_id()))
+    slim = marked.select(F.col(id_col).cast("long").alias("doc_id"), "print", "row_key")
     roots = near_roots(slim.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
     # the first row of each print, then of each group of prints
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "print"))
-    best = slim.groupBy("print").agg(first.alias("first")).join(roots.select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    best = best.select(F.col("doc_id").alias("best_id"), F.col("tag").alias("best_tag"), F.col("print").alias("best_print"))
-    same = (F.col("print") == F.col("best_print")) & (F.col("tag") == F.col("best_tag")) & F.col(id_col).cast("long").eqNullSafe(F.col("best_id"))
-    kept = marked.join(best, same, "left_semi")
-    # equal rows, if any, are told apart by nothing: one of them stays
-    return kept.dropDuplicates([id_col, "print", "tag"]).drop("print", "tag")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    best = slim.groupBy("print").agg(first.alias("first")).join(roots.select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first"))
+    return marked.join(best.select("first.row_key"), "row_key", "left_semi").drop("print", "row_key")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
