@@ -29,7 +29,7 @@ LEAST = 50
 SEED_BYTES = 32
 SPREAD = LEAST - SEED_BYTES + 1  # seeds a window can choose from
 ANCHOR = 13  # bytes whose smallest hash decides; equal to SEED_BYTES modulo SPREAD
-PIECE = 1 << 20
+PIECE = 1 << 19
 HOT_SEED = 4096
 LAST = np.iinfo(np.int64).max  # a null id: never smaller than another
 END = 0xFF  # no byte of UTF-8
@@ -157,7 +157,7 @@ def _first_docs(seed, digest, doc):
     return order, doc[order][starts][group] if len(order) else doc
 
 
-def _seeds(buckets: int, doc_buckets: int, flush: int = 96 << 20):
+def _seeds(buckets: int, doc_buckets: int, flush: int = 24 << 20):
     """Seeds by bucket; of equal segments met here only those of the smallest document go on, the rest is removed."""
 
     def run(batches):
@@ -384,7 +384,7 @@ def repeated_windows(raw: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[n
     return which[hit], hit - starts[which[hit]]
 
 
-def _compare(doc_buckets: int, chunk: int = 4 << 20):
+def _compare(doc_buckets: int, chunk: int = 2 << 20):
     """Windows that segments of one key share, key by key in chunks of bounded size."""
 
     def run(batches):
@@ -453,10 +453,12 @@ def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 2
     buckets = int(min(1 << 18, max(16, total // bucket_bytes)))
     seeds = docs.mapInArrow(_seeds(buckets, buckets), ROWS)
     settled = written(seeds.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_settle(buckets, hot_seed), ROWS))
+    del seeds
     release(spark)
     asked = settled.where("kind = 'ask'").select("bucket", "blob")
     texts = with_bucket(docs, buckets).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_texts_of(buckets, buckets), ROWS)
     compared = written(texts.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_compare(buckets), ROWS))
+    del texts, asked
     release(spark)
     return settled.where("kind = 'mark'").select("bucket", "blob").unionByName(compared.select("bucket", "blob")), buckets
 
