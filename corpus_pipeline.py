@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, line_dedup, packing, simhash, suffix_dedup
-from quern.llm.shared import written
+from quern.llm.shared import shipped, written
 
 LEAST_LANGUAGE_SCORE = 0.3
 
@@ -68,11 +68,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", drop_lines),
-    ("simhash_near_dedup", near_dedup),
-    ("suffix_array_dedup", drop_repeats),
-    ("packing", pack),
+    ("language_id", shipped(language_id)),
+    ("line_dedup", shipped(drop_lines)),
+    ("simhash_near_dedup", shipped(near_dedup)),
+    ("suffix_array_dedup", shipped(drop_repeats)),
+    ("packing", shipped(pack)),
 ]
 
 #: SQL cannot express the stages; tests hold run() against a brute-force version.

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, license_scan, line_dedup, packing, pieces, simhash, suffix_dedup, topk, warc
+from .shared import shipped
 
 
 def op1_warc(spark, sf_dir):
@@ -71,6 +72,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLE = {
     "op10_license_scan": license_scan.scan_sql(),

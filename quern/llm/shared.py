@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to executors that would not find it where the driver does."""
+    root = Path(__file__).resolve().parents[2]
+    found = {os.path.abspath(p) for p in (os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))}
+    sc = spark.sparkContext
+    if str(root) in found or not root.is_dir() or getattr(sc, "_quern_shipped", False):
+        return
+    path = f"{tempfile.mkdtemp(prefix='quern-')}/quern.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((root / "quern").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(path)
+    sc._quern_shipped = True
+
+
+def shipped(query):
+    """A query (its first argument the session) that ships the package first."""
+
+    @functools.wraps(query)
+    def run(spark, *args, **settings):
+        ship(spark)
+        return query(spark, *args, **settings)
+
+    return run
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps one copy of the work."""
     spark = df.sparkSession
