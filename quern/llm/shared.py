@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -57,21 +59,37 @@ def shipped(query):
     return run
 
 
+#: Tables that written() made in this process.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps one copy of the work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing will read it again."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quern/" in path:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def forget(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that written() made, but for those that `keep` reads. Nothing else may need them any more."""
+    needed = {f.rpartition("/")[0].rpartition("/quern/")[2] for f in keep.inputFiles()} if keep is not None and MADE else set()
+    for path in [p for p in MADE if p.rpartition("/quern/")[2] not in needed]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        MADE.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are written down; they would stay until the driver collects.
+
+    The executors delete them meanwhile, so the next step waits a few seconds rather than write beside them.
+    """
+    for _ in range(4):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def small_batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):

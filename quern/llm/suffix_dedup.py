@@ -13,17 +13,16 @@ merged before the shuffle. A seed that very many different segments share is dea
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ranges, written
+from .shared import ranges, release, written
 
 LEAST = 50
 SEED_BYTES = 32
@@ -440,12 +439,6 @@ def _apply(docs: pa.Table, marks: pa.Table):
         yield np.frombuffer(t, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are written down; they would stay until the driver collects."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
     """(rows of what is removed by bucket of documents, number of those buckets) for docs of (doc_id, text)."""
     spark = docs.sparkSession
@@ -456,13 +449,18 @@ def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 2
     del seeds
     release(spark)
     asked = settled.where("kind = 'ask'").select("bucket", "blob")
-    texts = with_bucket(docs, buckets).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_texts_of(buckets, buckets), ROWS)
+    texts = by_bucket(with_bucket(docs, buckets), asked, buckets).applyInArrow(_texts_of(buckets, buckets), ROWS)
     compared = written(texts.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_compare(buckets), ROWS))
     del texts, asked
     release(spark)
     return settled.where("kind = 'mark'").select("bucket", "blob").unionByName(compared.select("bucket", "blob")), buckets
 
 
+def by_bucket(docs: DataFrame, rows: DataFrame, buckets: int):
+    """Documents and rows of the same bucket together; as many partitions as buckets, whatever the session's setting."""
+    return docs.repartition(buckets, "bucket").groupBy("bucket").cogroup(rows.repartition(buckets, "bucket").groupBy("bucket"))
+
+
 def with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
     """docs with the bucket that doc_bucket() gives their ids, in Arrow batches."""
 
@@ -489,7 +487,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found, buckets = marks(rows, **settings)
-    return with_bucket(rows, buckets).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_bucket(with_bucket(rows, buckets), found, buckets).applyInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -511,5 +509,5 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
         docs = docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return docs.append_column("n_bytes", pa.array([len(k) + g for k, g, _ in done], pa.int64())).append_column("n_removed", pa.array([g for _, g, _ in done], pa.int64()))
 
-    cleaned = with_bucket(rows, buckets).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(apply, out)
+    cleaned = by_bucket(with_bucket(rows, buckets), found, buckets).applyInArrow(apply, out)
     return cleaned.withColumnsRenamed({"doc_id": id_col, "text": text_col})
