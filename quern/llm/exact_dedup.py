@@ -198,18 +198,22 @@ def _owners(largest: bool, budget: int):
     return run
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", trie_bytes: int = 192 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", trie_bytes: int = 192 << 20, part_bytes: int = 32 << 20) -> DataFrame:
     """Groups of equal texts: a row per input row with doc_id, keep_id, group_size, kept, text_sha256.
 
     keep: "smallest" or "largest" id of a group stays. A null text counts as empty, so nulls and empty texts are one
     group. A null id loses against any other; of rows that repeat the kept id one stays; in a group with null ids
-    only, keep_id is null and one row stays. An empty table gives no rows. Other columns of docs are not read.
+    only, keep_id is null and one row stays. An empty table gives no rows. Texts are dealt to partitions of about
+    part_bytes; a trie that outgrows trie_bytes spills. Other columns of docs are not read.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep!r}")
     largest = keep == "largest"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     local = written(rows.mapInArrow(_local(largest, trie_bytes), "doc_id long, copy_key long, is_first boolean, n long, n_bytes long, text_sha256 string, text binary"))
-    dealt = local.where("text is not null").repartition(F.col("n_bytes"), F.substring("text_sha256", 1, 16)).select("doc_id", "copy_key", "n", "text")
+    distinct = local.where("text is not null")
+    size = distinct.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = int(max(1, min(1 << 17, size // part_bytes)))
+    dealt = distinct.repartition(parts, F.col("n_bytes"), F.substring("text_sha256", 1, 16)).select("doc_id", "copy_key", "n", "text")
     owners = dealt.mapInArrow(_owners(largest, trie_bytes), "copy_key long, keep_id long, group_size long, owner_key long")
     return local.select("doc_id", "copy_key", "is_first", "text_sha256").join(owners, "copy_key").select("doc_id", "keep_id", "group_size", (F.col("is_first") & (F.col("copy_key") == F.col("owner_key"))).alias("kept"), "text_sha256")
