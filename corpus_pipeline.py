@@ -1,18 +1,21 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, suffix-array dedup, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its output is written as Parquet
-and read again for the next. All but the last return the columns that they were given, whatever further columns there
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its output must be written as Parquet
+and read again for the next, as run() does: a stage begins by deleting the intermediate tables that its predecessors left
+in the shared folder, but for those that its own input reads. All but the last return the columns that they were given, whatever further columns there
 are: those travel in one struct, so their names cannot clash with a stage's own.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, line_dedup, packing, simhash, suffix_dedup
-from quern.llm.shared import shipped, written
+from quern.llm.shared import forget, release, ship, written
 
 LEAST_LANGUAGE_SCORE = 0.3
 
@@ -31,6 +34,20 @@ def _wide(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*[source.get(c, F.col("rest").getField(c)).alias(c) for c in like.columns])
 
 
+def _stage(function):
+    """A stage that first clears away what earlier stages needed."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        forget(spark, keep=docs)
+        release(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; learned from their labelled rows that are not held out.
 
@@ -45,34 +62,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _wide(told.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
+@_stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring line templates; a document that has nothing else goes."""
     cleaned = line_dedup.clean(_narrow(docs))
     return _wide(cleaned.where((F.col("n_dropped") == 0) | (F.trim("text") != "")), docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
     return _wide(simhash.keep_one(_narrow(docs)), docs)
 
 
+@_stage
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 50 bytes that earlier ids hold; a document that has nothing else goes."""
     cleaned = suffix_dedup.clean(_narrow(docs))
     return _wide(cleaned.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of token sequences that hold all documents."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
-    ("language_id", shipped(language_id)),
-    ("line_dedup", shipped(drop_lines)),
-    ("simhash_near_dedup", shipped(near_dedup)),
-    ("suffix_array_dedup", shipped(drop_repeats)),
-    ("packing", shipped(pack)),
+    ("language_id", language_id),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", drop_repeats),
+    ("packing", pack),
 ]
 
 #: SQL cannot express the stages; tests hold run() against a brute-force version.
