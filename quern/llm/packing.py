@@ -189,6 +189,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     groups = max(1, -(-rows.count() // group_docs))
     tokens = rows.mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, n_tokens long, ids binary")
     dealt = tokens.withColumn("g", F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.lit(groups)))
+    # as many partitions as the groups need, whatever the session's setting: a task holds one group at a time
+    dealt = dealt.repartition(max(1, min(1 << 17, groups // 2)), "g")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     out = dealt.groupBy("g").applyInArrow(_pack(capacity, with_ids), schema)
     return out if with_ids else out.drop("ids")
