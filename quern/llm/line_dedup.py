@@ -5,12 +5,14 @@ line joins the template that it shares at least 80 % of its positions with, and
 otherwise it founds a template. Templates that recur across documents are dropped from all documents but the first.
 
 Only hashes travel for most lines: equal masked lines are counted first, and each distinct one goes to its leaf once.
-Leaves that hold very many distinct lines are split by more leading tokens.
+The tree has the same depth at every size; in a leaf only templates that share a block of positions are compared.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations, pairwise
+from operator import eq
 
 import pyarrow as pa
 import xxhash
@@ -26,7 +28,6 @@ MIN_TOKENS = 3
 MIN_DOCS = 3
 DEPTH, DEEP = 3, 8
 SIMILARITY = 0.8
-HOT_LEAF = 20_000
 
 
 def masked(line: str) -> list[str]:
@@ -44,36 +45,58 @@ def line_key(tokens: list[str]) -> int:
 
 
 class TemplateTree:
-    """The templates of one leaf, all of one token count."""
+    """The templates of one leaf, all of one token count, of which the first `lead` tokens are equal.
 
-    def __init__(self, similarity: float = SIMILARITY):
-        self.similarity, self.templates = similarity, []
-        self.by_token: dict[tuple[int, str], list[int]] = {}
+    A line that shares enough positions with a template differs from it in at most d of the others. Those are cut into
+    d + 1 blocks, one of which must be equal (or d + 2, two of which must be), so only templates with such a block, as
+    they now stand, are compared. That leaves out none that the line could join.
+    """
+
+    def __init__(self, similarity: float = SIMILARITY, lead: int = DEPTH):
+        self.similarity, self.lead, self.templates = similarity, lead, []
+        self.by_block: dict[int, list[int]] = {}
+        self.parts: list[tuple[slice, ...]] | None = None
+
+    def _cut(self, n: int) -> None:
+        self.least = next((m for m in range(n + 1) if m >= self.similarity * n), n + 1)
+        d, free, self.parts = n - self.least, n - self.lead, []
+        if free <= max(d, 0):
+            return
+        agree = 2 if d <= 2 and free >= d + 2 else 1
+        cuts = [self.lead + round(free * k / (d + agree)) for k in range(d + agree + 1)]
+        self.parts = list(combinations([slice(x, y) for x, y in pairwise(cuts)], agree))
+
+    def _blocks(self, tokens: list[str]) -> list[int]:
+        return [hash((k, *(tuple(tokens[s]) for s in part))) for k, part in enumerate(self.parts)]
 
     def put(self, tokens: list[str]) -> int:
         """Number of the template that takes the line; the most similar, then the oldest."""
-        n = len(tokens)
-        shared: dict[int, int] = {}
-        for at in enumerate(tokens):
-            for t in self.by_token.get(at, ()):
-                shared[t] = shared.get(t, 0) + 1
+        if self.parts is None:
+            self._cut(len(tokens))
+        blocks = self._blocks(tokens)
+        near = {t for b in blocks for t in self.by_block.get(b, ())} if self.parts else range(len(self.templates))
         best, most = -1, 0
-        for t, count in shared.items():
+        for t in near:
             # a position that is variable in both is counted with the others; the line is compared with the founder's fixed positions
+            count = sum(map(eq, tokens, self.templates[t]))
             if count > most or count == most and t < best:
                 best, most = t, count
-        if best >= 0 and most >= self.similarity * n:
+        if best >= 0 and most >= self.least:
             template = self.templates[best]
-            for k, token in enumerate(tokens):
-                if template[k] != token and template[k] != MASK:
-                    self.by_token[k, template[k]].remove(best)
-                    template[k] = MASK
-                    self.by_token.setdefault((k, MASK), []).append(best)
+            merged = [a if a == b else MASK for a, b in zip(template, tokens, strict=True)]
+            if merged != template:
+                for old, new in zip(self._blocks(template), self._blocks(merged), strict=True):
+                    if old != new:
+                        self.by_block[old].remove(best)
+                        if not self.by_block[old]:
+                            del self.by_block[old]
+                        self.by_block.setdefault(new, []).append(best)
+                self.templates[best] = merged
             return best
         number = len(self.templates)
         self.templates.append(list(tokens))
-        for at in enumerate(tokens):
-            self.by_token.setdefault(at, []).append(number)
+        for b in blocks:
+            self.by_block.setdefault(b, []).append(number)
         return number
 
 
@@ -121,15 +144,19 @@ def _templates(similarity: float):
     return run
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, hot_leaf: int = HOT_LEAF) -> DataFrame:
-    """(doc_id, line): masked lines to drop from each document of (doc_id, text)."""
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, hot_leaf: int | None = None) -> DataFrame:
+    """(doc_id, line): masked lines to drop from each document of (doc_id, text).
+
+    hot_leaf keys leaves of more distinct lines by eight leading tokens, which keeps lines that vary there; never unless given.
+    """
     lines = written(docs.mapInArrow(_lines(min_tokens), "doc_id long, line long, leaf long, deep long, tokens string"))
     slim = lines.select("doc_id", "line", "leaf", "deep")
     counts = slim.groupBy("leaf", "deep", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     counts = written(counts)
     # a leaf with a single line is its own template; the others need their tokens
     leaves = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    shared = counts.join(leaves, "leaf").select(F.when(F.col("kinds") > hot_leaf, F.col("deep")).otherwise(F.col("leaf")).alias("key"), "line", "n", "first")
+    key = F.col("leaf") if hot_leaf is None else F.when(F.col("kinds") > hot_leaf, F.col("deep")).otherwise(F.col("leaf"))
+    shared = counts.join(leaves, "leaf").select(key.alias("key"), "line", "n", "first")
     texts = lines.select("doc_id", "line", "tokens")
     asked = texts.join(shared, (texts["line"] == shared["line"]) & texts["doc_id"].eqNullSafe(shared["first"])).select("key", shared["line"], "n", "tokens")
     ordered = asked.repartition("key").sortWithinPartitions("key", F.col("n").desc(), "tokens").select("key", "line", "tokens")

@@ -78,3 +78,35 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     rows = line_dedup.clean(df).collect()
     assert sorted((r.doc_id or 0, r.n_dropped) for r in rows) == [(0, 1), (0, 1), (7, 0), (7, 0), (9, 1)]
     assert line_dedup.clean(df.where("false")).count() == 0
+
+
+def linear_put(templates, tokens, similarity=0.8):
+    scores = [sum(a == b for a, b in zip(tokens, t, strict=True)) for t in templates]
+    best = max(range(len(templates)), key=lambda k: (scores[k], -k), default=None)
+    if best is None or not scores[best] or scores[best] < similarity * len(tokens):
+        templates.append(list(tokens))
+        return len(templates) - 1
+    templates[best] = [a if a == b else "<*>" for a, b in zip(templates[best], tokens, strict=True)]
+    return best
+
+
+def test_tree_equals_comparison_with_every_template():
+    rng = random.Random(5)
+    for n in (1, 2, 3, 4, 5, 6, 9, 10, 14, 15, 17, 25, 40):
+        for similarity in (0.8, 0.5, 0.2, 1.0):
+            tree, plain = line_dedup.TemplateTree(similarity), []
+            founders = [[rng.choice("abcd") for _ in range(n)] for _ in range(12)]
+            for _ in range(250):
+                line = [t if rng.random() > 0.15 else rng.choice(["x", "y", "<*>"]) for t in rng.choice(founders)]
+                line[:3] = ["the", "of", "and"][:n]
+                assert tree.put(line) == linear_put(plain, line, similarity)
+            assert tree.templates == plain
+
+
+def test_large_leaf_gives_the_same_as_a_small_one(spark):
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(26 * 26)]
+    notice = [(i, f"all the news from {names[i]} town is here for you") for i in range(40)]
+    other = [(100, "\n".join(f"all the news {a} {b} {a}{b} {b}{a} {a}b {b}a z" for a in names[:150] for b in names[:150]))]
+    for rows in (notice, notice + other):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id for r in line_dedup.clean(df).where("n_dropped > 0").collect()} == set(range(1, 40))
