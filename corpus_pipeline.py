@@ -71,8 +71,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    return _wide(simhash.keep_one(_narrow(docs)), docs)
+    """One document, that with the smallest id, of each group of near duplicates: 0.8 or more of their five-word shingles."""
+    return _wide(simhash.keep_similar(_narrow(docs), width=5, least=0.8), docs)
 
 
 @_stage

@@ -4,10 +4,16 @@ Fingerprints are taken over whole texts. Two fingerprints within r bits agree on
 and on what is left the same holds again, so distinct fingerprints are dealt to shards by a block of a block. Each
 shard has its own BK-tree (children keyed by Hamming distance to the parent), and a query follows only the edges
 within the radius. A fingerprint links to what it finds; components are joined up by a distributed minimum.
+
+Where texts of a given Jaccard similarity are asked for (keep_similar), 64 bits are too few for blocks: at 0.8 about ten
+differ. There the shards are MinHash bands of the shingles, the trees' radius is wide, and what they link is compared by
+its shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,13 +25,16 @@ from .shared import components, small_batches, written
 
 SEED = 42
 RADIUS = 3
+BANDS, BAND_ROWS = 32, 5
+WIDE_RADIUS = 24
+LARGE_SHARD, SLACK = 256, 8
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Majority bits of the XXH64 of every word shingle, repeats included; no words: zero."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The XXH64 of every word shingle, repeats included; fewer words make one shingle, none at all no shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     if len(words) <= width:
@@ -34,7 +43,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         starts = np.concatenate([[0], ends[: len(words) - width] + 1])
         spans = zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype(">u8")
@@ -43,6 +56,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(bits).view(">u8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Majority bits of the XXH64 of every word shingle, repeats included; no words: zero."""
+    return majority(shingles(text, width))
+
+
 PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 
 
@@ -93,8 +111,12 @@ class BKTree:
         return found
 
 
-def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that connect whatever lies within the radius, found by one BK-tree over the members."""
+def shard_links(members: list[int], radius: int, slack: int = 0) -> list[tuple[int, int]]:
+    """Links that connect whatever lies within the radius, found by one BK-tree over the members.
+
+    With slack, members that close to one in the tree stay out of it and the radius is wider by as much: some more is
+    linked, nothing less, and a large group of near copies leaves a small tree.
+    """
     tree, root, links = BKTree(), {}, []
 
     def top(x: int) -> int:
@@ -107,19 +129,21 @@ def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
         if x in root:
             continue
         root[x] = x
-        for y in tree.within(x, radius):
+        found = tree.within(x, radius + slack)
+        for y in found:
             a, b = top(x), top(y)
             if a != b:
                 root[a] = b
                 links.append((x, y))
-        tree.add(x)
+        if not slack or not any((x ^ y).bit_count() <= slack for y in found):
+            tree.add(x)
     return links
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shards(radius: int):
+def _shards(radius: int, slack: int = 0):
     """Links within each run of equal shard keys of sorted input."""
 
     def run(batches):
@@ -141,7 +165,7 @@ def _shards(radius: int):
             near = np.bitwise_count((prints[pairs] ^ prints[pairs + 1]).view(np.uint64)) <= radius
             a, b = [prints[pairs[near]]], [prints[pairs[near] + 1]]
             for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                links = shard_links(prints[s : s + n].view(np.uint64).tolist(), radius)
+                links = shard_links(prints[s : s + n].view(np.uint64).tolist(), radius, slack if n > LARGE_SHARD else 0)
                 if links:
                     ends = np.array(links, np.uint64).view(np.int64)
                     a.append(ends[:, 0])
@@ -219,6 +243,124 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return marked.join(best.select("first.row_key"), "row_key", "left_semi").drop("print", "row_key")
 
 
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    a, b = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+    return a | np.uint64(1), b
+
+
+def bands(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band of a set; sets of similarity s share one but for (1 - s^5)^32, 3e-6 at 0.8."""
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * a + b).min(0), out=least)
+    rows = least.reshape(BANDS, -1)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64)
+
+
+def _set(text: bytes | None, width: int) -> np.ndarray:
+    """Distinct shingles, sorted; texts without words share one."""
+    found = np.unique(shingles(text or b"", width))
+    return found if len(found) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+
+
+def _with_sketches(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """docs with the digest of their set of shingles, its fingerprint and its bands."""
+
+    def run(batches):
+        a, b = _permutations()
+        for batch in batches:
+            for part in small_batches(batch, text_col):
+                sets = [_set(t, width) for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+                digests = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+                keys = np.concatenate([bands(s, a, b) for s in sets]).view(np.int64)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests), pa.array(prints), keys], names=[*part.schema.names, "set", "print", "bands"])
+
+    more = [T.StructField("set", T.LongType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+
+
+def similar_sets(sets: list[np.ndarray], least: float) -> list[int]:
+    """For each of the sorted sets the first one that it is linked to by steps of Jaccard similarity `least` or more.
+
+    Sets that similar share one of their rarest shingles: of n, those that are left when least * n are taken off, and one.
+    """
+    root = list(range(len(sets)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def near(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both / (len(x) + len(y) - both) >= least
+
+    known, counts = np.unique(np.concatenate(sets), return_counts=True)
+    index: dict[int, list[int]] = {}
+    for i, s in enumerate(sets):
+        rarest = s[np.argsort(counts[np.searchsorted(known, s)], kind="stable")][: len(s) - math.ceil(least * len(s) - 1e-9) + 1].tolist()
+        for j in dict.fromkeys(j for h in rarest for j in index.get(h, ())):
+            a, b = top(i), top(j)
+            if a != b and near(s, sets[j]):
+                root[max(a, b)] = min(a, b)
+        for h in rarest:
+            index.setdefault(h, []).append(i)
+    return [top(i) for i in range(len(sets))]
+
+
+def _confirmed(width: int, least: float):
+    """Rows (root, set, text) that arrive sorted by root to (set, group): the sets that are not alone in their group."""
+
+    def groups(digests, sets):
+        tops = similar_sets(sets, least)
+        found = [(digests[i], digests[t]) for i, t in enumerate(tops) if i != t]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["set", "group"])
+
+    def run(batches):
+        at, digests, sets = None, [], []
+        for batch in batches:
+            for part in small_batches(batch, "text"):
+                for root, digest, text in zip(part.column("root").to_pylist(), part.column("set").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    if root != at and sets:
+                        yield groups(digests, sets)
+                        digests, sets = [], []
+                    at = root
+                    digests.append(digest)
+                    sets.append(_set(text, width))
+        if sets:
+            yield groups(digests, sets)
+
+    return run
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group linked by Jaccard similarity of `least` or more: the smallest id, nulls last.
+
+    Similarity is that of the sets of shingles of `width` words. Pairs are found by fingerprints within 24 bits in one of
+    32 MinHash bands, which suits a similarity of 0.8 or more, and confirmed by their shingles; linked fingerprints meet
+    in one task for that. Texts without words count as equal. Of rows that repeat the smallest id one stays. Other columns
+    pass through; set, print, bands and row_key must not be among them.
+    """
+    marked = written(_with_sketches(docs, text_col, width).withColumn("row_key", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col(id_col).cast("long").isNull().alias("none"), F.col(id_col).cast("long").alias("doc_id"), "row_key"))
+    distinct = written(marked.groupBy("set").agg(first.alias("first"), F.min("print").alias("print")))
+    shard = marked.select(F.posexplode("bands").alias("band", "shard"), "print").select("shard", "print").distinct()
+    dealt = shard.repartition("shard").sortWithinPartitions("shard", "print")
+    roots = components(dealt.mapInArrow(_shards(WIDE_RADIUS, SLACK), "a long, b long"))
+    placed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("set", "first.row_key", F.coalesce("root", "print").alias("root"))
+    several = placed.join(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "root")
+    texts = several.select("root", "set", "row_key").join(marked.select("row_key", F.col(text_col).cast("string").alias("text")), "row_key").select("root", "set", "text")
+    groups = texts.repartition("root").sortWithinPartitions("root", "set").mapInArrow(_confirmed(width, least), "set long, group long")
+    best = distinct.join(groups, "set", "left").groupBy(F.coalesce("group", "set").alias("group")).agg(F.min("first").alias("first"))
+    return marked.join(best.select("first.row_key"), "row_key", "left_semi").drop("set", "print", "bands", "row_key")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """A row per document: doc_id, fingerprint (16 hex digits), component_id.
 

@@ -94,3 +94,12 @@ def test_empty_and_unlabelled(spark):
         assert stage(spark, empty, "").count() == 0
     unlabelled = spark.createDataFrame([(1, "some words", None, None, 10, None, None, None, None, None, None), (2, "1", None, None, 1, None, None, None, None, None, None)], SCHEMA)
     assert [r.doc_id for r in cp.language_id(spark, unlabelled, "").collect()] == [1]
+
+
+def test_near_stage_finds_pairs_of_similarity_0_8(spark):
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = [(k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :]), "en", "s", 1, "r", 1, 2, 3, 4, 0.5) for k, at in enumerate((20, 50, 80, 110))]
+    rows.append((9, " ".join(f"y{k}" if k % 12 == 0 else w for k, w in enumerate(base)), "en", "s", 1, "r", 1, 2, 3, 4, 0.5))
+    kept = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9]

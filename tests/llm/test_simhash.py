@@ -82,3 +82,62 @@ def test_bk_tree(n):
         tree.add(v)
     for q in range(256):
         assert sorted(tree.within(q, n)) == sorted({v for v in values if (v ^ q).bit_count() <= n})
+
+
+def brute_similar(rows, least=0.8, width=5):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w)} if len(w) <= width else {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if top(a) != top(b) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                root[top(a)] = top(b)
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(top(k), []).append(i)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_keep_similar_equals_jaccard_of_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for size in (6, 12, 25, 60, 150, 400, 1500):
+        for _ in range(12):
+            base = [rng.choice(words) for _ in range(size)]
+            for _ in range(5):
+                rows.append((len(rows), " ".join(w if rng.random() > 0.02 else rng.choice(words) for w in base)))
+            cut = rng.randrange(size // 4 + 1)
+            rows.append((len(rows), " ".join(base[cut:])))
+            rows.append((len(rows), " ".join(base + base[: size // 5] * rng.randint(0, 9))))
+    rows += [(5000, None), (5001, " "), (5002, "W1"), (5003, "w1")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, other long")
+    got = simhash.keep_similar(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == brute_similar(rows)
+    assert simhash.keep_one(df).count() > len(brute_similar(rows))
+
+
+def test_slack_links_all_that_is_within_the_radius():
+    rng = random.Random(4)
+    seeds = [rng.getrandbits(64) for _ in range(8)]
+    members = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for s in seeds for _ in range(60)})
+    label = {m: m for m in members}
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for x, y in simhash.shard_links(members, 10, 4):
+        label[top(x)] = top(y)
+    assert all(top(x) == top(y) for x in members for y in members if (x ^ y).bit_count() <= 10)
