@@ -4,8 +4,10 @@ Lines are parsed by a tree of fixed depth: token count, then leading tokens, wit
 line joins the template that it shares at least 80 % of its positions with, and positions that differ become variable;
 otherwise it founds a template. Templates that recur across documents are dropped from all documents but the first.
 
-Only hashes travel for most lines: equal masked lines are counted first, and each distinct one goes to its leaf once.
-The tree has the same depth at every size; in a leaf only templates that share a block of positions are compared.
+Only hashes travel for most lines: equal masked lines are counted first, and only lines of leaves that could hold a
+recurring template of several lines are read again, once each. Which leaves those are travels as a bit array of fixed
+size that leaves none out. The tree has the same depth at every size; in a leaf only templates that share a block of
+positions are compared.
 """
 
 from __future__ import annotations
@@ -14,20 +16,22 @@ import re
 from itertools import combinations, pairwise
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, written
+from .shared import cleaned, discard, small_batches, trim, written
 
 MASK = "<*>"
 VARIABLE = re.compile(r"[0-9@]|://")
 MIN_TOKENS = 3
 MIN_DOCS = 3
-DEPTH, DEEP = 3, 8
+DEPTH = 3
 SIMILARITY = 0.8
+LEAF_BITS = 24  # the bit array of leaves has 2 ** 24 bits, 2 MB, at every size
 
 
 def masked(line: str) -> list[str]:
@@ -100,11 +104,19 @@ class TemplateTree:
         return number
 
 
-LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64()), ("deep", pa.int64()), ("tokens", pa.string())])
+def leaf_key(tokens: list[str]) -> int:
+    return _hash(tokens[:DEPTH], len(tokens))
+
+
+LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("leaf", pa.int64())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _lines(min_tokens: int):
-    """Each document's distinct masked lines of enough tokens."""
+    """Each document's distinct masked lines of enough tokens, as hashes."""
 
     def run(batches):
         for batch in batches:
@@ -117,9 +129,49 @@ def _lines(min_tokens: int):
                         if len(tokens) < min_tokens or (key := line_key(tokens)) in seen:
                             continue
                         seen.add(key)
-                        rows.append((doc_id, key, _hash(tokens[:DEPTH], len(tokens)), _hash(tokens[:DEEP], len(tokens)), " ".join(tokens)))
+                        rows.append((doc_id, key, leaf_key(tokens)))
+                if rows:
+                    yield _rows(rows, LINES)
+        trim()
+
+    return run
+
+
+class Leaves:
+    """A bit for each slot of leaf hashes; a set bit may stand for other leaves too, a clear one for none that is wanted."""
+
+    def __init__(self, wanted: DataFrame, bits: int):
+        self.slots = (1 << bits) - 1
+        slot = F.col("leaf").bitwiseAND(self.slots)
+        words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, CAST(leaf & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        with cleaned(wanted.sparkSession):
+            found = words.toArrow()  # 2 ** (bits - 6) rows at most
+        self.bits = np.zeros((self.slots >> 6) + 1, np.int64)
+        self.bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+
+    def __contains__(self, leaf: int) -> bool:
+        return bool(int(self.bits[(leaf & self.slots) >> 6]) >> (leaf & 63) & 1)
+
+
+TEXTS = pa.schema([("line", pa.int64()), ("tokens", pa.string())])
+
+
+def _texts(min_tokens: int, shared):
+    """Masked lines of the leaves that are wanted, each once a batch."""
+
+    def run(batches):
+        leaves = shared.value
+        for batch in batches:
+            for part in small_batches(batch, "text"):
+                rows = {}
+                for text in part.column("text").to_pylist():
+                    for line in (text or "").split("\n"):
+                        tokens = masked(line)
+                        if len(tokens) >= min_tokens and leaf_key(tokens) in leaves:
+                            rows[line_key(tokens)] = " ".join(tokens)
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LINES.types, strict=True)], schema=LINES)
+                    yield _rows(list(rows.items()), TEXTS)
+        trim()
 
     return run
 
@@ -144,33 +196,27 @@ def _templates(similarity: float):
     return run
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, hot_leaf: int | None = None) -> DataFrame:
-    """(doc_id, line): masked lines to drop from each document of (doc_id, text).
-
-    hot_leaf keys leaves of more distinct lines by eight leading tokens, which keeps lines that vary there; never unless given.
-    """
-    lines = written(docs.mapInArrow(_lines(min_tokens), "doc_id long, line long, leaf long, deep long, tokens string"))
-    slim = lines.select("doc_id", "line", "leaf", "deep")
-    counts = slim.groupBy("leaf", "deep", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    counts = written(counts)
-    # a leaf with a single line is its own template; the others need their tokens
-    leaves = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    key = F.col("leaf") if hot_leaf is None else F.when(F.col("kinds") > hot_leaf, F.col("deep")).otherwise(F.col("leaf"))
-    shared = counts.join(leaves, "leaf").select(key.alias("key"), "line", "n", "first")
-    texts = lines.select("doc_id", "line", "tokens")
-    asked = texts.join(shared, (texts["line"] == shared["line"]) & texts["doc_id"].eqNullSafe(shared["first"])).select("key", shared["line"], "n", "tokens")
-    ordered = asked.repartition("key").sortWithinPartitions("key", F.col("n").desc(), "tokens").select("key", "line", "tokens")
-    templates = ordered.mapInArrow(_templates(similarity), "line long, template long").distinct()
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, similarity: float = SIMILARITY, leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """(doc_id, line): masked lines to drop from each document of (doc_id, text)."""
+    spark = docs.sparkSession
+    lines = written(docs.mapInArrow(_lines(min_tokens), "doc_id long, line long, leaf long"))
+    counts = written(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
+    # a leaf with a single line is its own template, and one whose lines occur too rarely has none that recurs
+    leaves = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") > 1) & (F.col("n") >= min_docs))
+    wanted = written(counts.join(leaves.select("leaf"), "leaf").select("leaf", "line", "n"))
+    shared = spark.sparkContext.broadcast(Leaves(wanted, leaf_bits))
+    texts = docs.mapInArrow(_texts(min_tokens, shared), "line long, tokens string").groupBy("line").agg(F.min("tokens").alias("tokens"))
+    ordered = texts.join(wanted, "line").repartition("leaf").sortWithinPartitions("leaf", F.col("n").desc(), "tokens").select("leaf", "line", "tokens")
+    templates = written(ordered.mapInArrow(_templates(similarity), "line long, template long"))
     of_line = counts.join(templates, "line", "left").select("line", "n", "first", F.coalesce("template", "line").alias("template"))
-    of_line = written(of_line)
-    # templates that cannot reach min_docs, whatever their lines share, are left out before documents are counted
-    likely = of_line.groupBy("template").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first")).where(F.col("n") >= min_docs).drop("n")
-    sure, open_ = likely.where("kinds = 1"), likely.where("kinds > 1")
-    located = slim.join(of_line.select("line", "template").join(open_.select("template"), "template"), "line").select("template", "doc_id")
-    counted = located.distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    dropped = sure.select("template", "first").unionByName(open_.join(counted, "template").select("template", "first"))
-    drop_lines = of_line.select("line", "template").join(dropped, "template").select("line", "first")
-    return slim.select("doc_id", "line").join(drop_lines, "line").where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "line").distinct()
+    # n counts rows, so it is never below the number of documents: templates below min_docs rows need not be counted
+    likely = of_line.groupBy("template").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs).drop("n")
+    located = written(lines.select("doc_id", "line").join(of_line.select("line", "template").join(likely, "template"), "line"))
+    kept = located.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    drops = written(located.where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))).join(kept.select("template"), "template").select("doc_id", "line").distinct())
+    shared.unpersist()
+    discard(lines, counts, wanted, templates, located)
+    return drops
 
 
 def _kept(text: str | None, drop: set[int] | None) -> tuple[str | None, int, int]:
@@ -189,25 +235,30 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **set
 
     A template recurs if it is in at least min_docs (3) documents; the document with the smallest id keeps its lines.
     Lines end at a line feed. Lines of fewer than min_tokens (3) tokens stay. A null text stays null with no lines, an
-    empty one has one line. Rows that repeat an id are cleaned alike and count as separate documents only where their
-    template is a single line; rows with a null id never keep a template that a row with an id has. An empty table
-    gives no rows. Other columns pass through; n_lines, n_dropped and drop_lines must not be among them.
+    empty one has one line. Documents are told apart by their ids: rows that repeat an id are one document and are cleaned
+    alike, and so are rows with a null id, which never keep a template that a row with an id has. An empty table gives no
+    rows. Other columns pass through whatever their names; n_lines and n_dropped are replaced if they are there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     drops = recurring(rows, **settings).groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_list("line").alias("drop_lines"))
-    both = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    # what passes through has names of our own meanwhile, so none can clash
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    others = [(f"c{k}", c) for k, c in enumerate(names) if c != text_col]
+    held = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in others], F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    both = held.join(drops, F.col("id").eqNullSafe(F.col("drop_id")), "left").drop("id", "drop_id")
+    schema = T.StructType([*[T.StructField(k, docs.schema[c].dataType) for k, c in others], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for part in small_batches(batch, text_col):
-                found = [_kept(t, set(d) if d else None) for t, d in zip(part.column(text_col).to_pylist(), part.column("drop_lines").to_pylist(), strict=True)]
+            for part in small_batches(batch, "text"):
+                found = [_kept(t, set(d) if d else None) for t, d in zip(part.column("text").to_pylist(), part.column("drop_lines").to_pylist(), strict=True)]
                 texts, n, gone = zip(*found, strict=True)
-                columns = [pa.array(texts, pa.string()) if k == text_col else part.column(k) for k in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+                columns = [*part.columns[:-2], pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+        trim()
 
-    return both.mapInArrow(run, schema)
+    done = both.mapInArrow(run, schema)
+    return done.select(*[F.col("text" if c == text_col else f"c{k}").alias(c) for k, c in enumerate(names)], "n_lines", "n_dropped")
 
 
 def digests(docs: DataFrame, **settings) -> DataFrame:

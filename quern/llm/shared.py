@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import os
+import re
 import tempfile
-import time
 import uuid
 import zipfile
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, local mode) a temporary folder is made and set as the checkpoint folder.
+    Where it is unset and the master is local (tests), a temporary folder is made and set as the checkpoint folder. On a
+    cluster a temporary folder of one machine would lose what the others write, so an unset folder is an error there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -28,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="quern-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -59,37 +65,73 @@ def shipped(query):
     return run
 
 
-#: Tables that written() made in this process.
-MADE: list[str] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Spark deletes the shuffle files of an action in here as soon as it ends, rather than when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+#: Paths of the tables that are made in the innermost owned() block.
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned():
+    """Lists the tables that written() makes in the block, and nobody else's; whoever opens it may delete them."""
+    mine: list[str] = []
+    token = _OWNER.set(mine)
+    try:
+        yield mine
+    finally:
+        _OWNER.reset(token)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps one copy of the work."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, keeps one copy of the work.
+
+    The table goes with discard(), with its owner (see owned()), or when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with cleaned(spark):
+        df.write.option("compression", codec).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if (mine := _OWNER.get()) is not None:
+        mine.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quern_path = path
+    return table
 
 
-def forget(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes the tables that written() made, but for those that `keep` reads. Nothing else may need them any more."""
-    needed = {f.rpartition("/")[0].rpartition("/quern/")[2] for f in keep.inputFiles()} if keep is not None and MADE else set()
-    for path in [p for p in MADE if p.rpartition("/quern/")[2] not in needed]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        MADE.remove(path)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and that nothing needs any more."""
+    for table in tables:
+        delete(table.sparkSession, table._quern_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are written down; they would stay until the driver collects.
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    The executors delete them meanwhile, so the next step waits a few seconds rather than write beside them.
-    """
-    for _ in range(4):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
+
+def trim() -> None:
+    """Gives memory that a finished step of a Python worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def small_batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
@@ -123,19 +165,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b), both long: rows (node, root), root the smallest node reachable.
 
     Every round each node takes the smallest root among its neighbours' and then its root's own root, so
-    long chains close in a logarithmic number of rounds. The label table is checkpointed each round; nothing
-    but a count of changes comes to the driver. Joins are plain equi-joins, which AQE can split on hot nodes.
+    long chains close in a logarithmic number of rounds. The label table is written each round and that before it deleted;
+    nothing but a count of changes comes to the driver. Joins are plain equi-joins, which AQE can split on hot nodes.
     """
-    shared_folder(links.sparkSession)
-    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")).checkpoint()
+    spark = links.sparkSession
+    both = written(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"), F.lit(None).cast("long").alias("old")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        step = labels.select("node", "root").join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
-        changed = new.where("old <> root").limit(1).count()
-        labels = new.select("node", "root")
+        new = written(step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "old"))
+        discard(labels)
+        labels = new
+        with cleaned(spark):
+            changed = labels.where("old <> root").limit(1).count()
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("node", "root")
     raise RuntimeError("components did not settle")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ranges, release, written
+from .shared import discard, ranges, trim, written
 
 LEAST = 50
 SEED_BYTES = 32
@@ -447,12 +447,10 @@ def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 2
     seeds = docs.mapInArrow(_seeds(buckets, buckets), ROWS)
     settled = written(seeds.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_settle(buckets, hot_seed), ROWS))
     del seeds
-    release(spark)
     asked = settled.where("kind = 'ask'").select("bucket", "blob")
     texts = by_bucket(with_bucket(docs, buckets), asked, buckets).applyInArrow(_texts_of(buckets, buckets), ROWS)
     compared = written(texts.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_compare(buckets), ROWS))
     del texts, asked
-    release(spark)
     return settled.where("kind = 'mark'").select("bucket", "blob").unionByName(compared.select("bucket", "blob")), buckets
 
 

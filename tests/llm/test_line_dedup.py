@@ -60,16 +60,6 @@ def test_against_brute_force(spark):
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.clean(df).collect()), key=str)
     assert got == brute(rows)
     assert sum(r[3] for r in got) > 50
-    split = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.clean(df, hot_leaf=10**9).collect()), key=str)
-    assert split == got
-
-
-def test_hot_leaf_is_split_by_more_tokens(spark):
-    rows = [(i, f"one two three four {'x' * (i % 5)}a b c d") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [r.doc_id for r in line_dedup.clean(df, hot_leaf=2).where("n_dropped = 0").collect()]
-    assert sorted(kept) == [0, 1, 2, 3, 4]
-    assert sorted(r.doc_id for r in line_dedup.clean(df).where("n_dropped = 0").collect()) == [0]
 
 
 def test_repeated_and_null_ids_and_empty_table(spark):
@@ -80,6 +70,29 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert line_dedup.clean(df.where("false")).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    one, two = "a line that few documents share", "all these words differ but one here"
+    rows = [(1, one), (1, one), (1, one), (2, one), (None, one[::-1]), (None, one[::-1]), (None, one[::-1]), (3, two), (3, two.replace("one", "two")), (4, two.replace("one", "six"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup.clean(df).collect()} == {0}
+    more = df.union(spark.createDataFrame([(5, one), (6, two)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in line_dedup.clean(more).where("n_dropped > 0").collect()) == [2, 4, 5, 6]
+
+
+def test_clashing_names(spark):
+    rows = [(i, "a line that many documents share", i, 2, 3, [4], "x") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, drop_lines int, line int, id array<int>, c0 string")
+    got = line_dedup.clean(df)
+    assert got.columns == ["doc_id", "text", "drop_lines", "line", "id", "c0", "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.drop_lines, r.line, tuple(r.id), r.c0, r.n_lines, r.n_dropped) for r in got.collect()} == {(i, 2, 3, (4,), "x", 1, int(i > 0)) for i in range(5)}
+
+
+def test_few_slots_for_leaves_change_nothing(spark):
+    rows = [(i, f"notice {w} of town {w} {i % 7} is here for you all\nall other {w} {i} lines stay here") for i, w in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(line_dedup.clean(df).collect()) == sorted(line_dedup.clean(df, leaf_bits=6).collect())
+
+
 def linear_put(templates, tokens, similarity=0.8):
     scores = [sum(a == b for a, b in zip(tokens, t, strict=True)) for t in templates]
     best = max(range(len(templates)), key=lambda k: (scores[k], -k), default=None)
