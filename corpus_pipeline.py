@@ -1,9 +1,9 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, suffix-array dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its output must be written as Parquet
-and read again for the next, as run() does: a stage begins by deleting the intermediate tables that its predecessors left
-in the shared folder, but for those that its own input reads. All but the last return the columns that they were given, whatever further columns there
-are: those travel in one struct, so their names cannot clash with a stage's own.
+and read again for the next, as run() does: a stage begins by deleting the intermediate tables that the stages before it
+made in the shared folder, and no others. All but the last return the columns that they were given, whatever further
+columns there are: those travel in one struct, so their names cannot clash with a stage's own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import langid, line_dedup, packing, simhash, suffix_dedup
-from quern.llm.shared import forget, release, ship, written
+from quern.llm.shared import delete, discard, owned, ship, written
 
 LEAST_LANGUAGE_SCORE = 0.3
 
@@ -34,15 +34,23 @@ def _wide(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*[source.get(c, F.col("rest").getField(c)).alias(c) for c in like.columns])
 
 
+#: Tables of the stages that were called and whose output the caller has written since.
+SPENT: list[str] = []
+
+
 def _stage(function):
-    """A stage that first clears away what earlier stages needed."""
+    """A stage that first deletes the tables of earlier stages, and lists its own for the next one."""
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        forget(spark, keep=docs)
-        release(spark)
-        return function(spark, docs, sf_dir)
+        while SPENT:
+            delete(spark, SPENT.pop())
+        with owned() as tables:
+            try:
+                return function(spark, docs, sf_dir)
+            finally:
+                SPENT.extend(tables)
 
     return run
 
@@ -101,8 +109,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are a table in the shared folder, deleted when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    while SPENT:
+        delete(spark, SPENT.pop())
     return docs
