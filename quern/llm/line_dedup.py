@@ -212,10 +212,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     # n counts rows, so it is never below the number of documents: templates below min_docs rows need not be counted
     likely = of_line.groupBy("template").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs).drop("n")
     located = written(lines.select("doc_id", "line").join(of_line.select("line", "template").join(likely, "template"), "line"))
-    kept = located.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    # written, so that the join that follows can split a template that very many documents hold
+    kept = written(located.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
     drops = written(located.where(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))).join(kept.select("template"), "template").select("doc_id", "line").distinct())
     shared.unpersist()
-    discard(lines, counts, wanted, templates, located)
+    discard(lines, counts, wanted, templates, located, kept)
     return drops
 
 
