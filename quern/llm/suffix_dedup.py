@@ -8,13 +8,17 @@ are sorted directly, the rest is induced by scans of the buckets, and adjacent c
 show equal windows. What is removed goes back to the documents by id.
 
 Per seed about 17 bytes travel for every 16 bytes of text, packed into a row per task and bucket; equal segments are
-merged before the shuffle. A seed that very many different segments share is dealt by whole windows instead.
+merged before the shuffle. A seed that more than hot_seed different segments share is dealt by whole windows instead,
+which changes the path of its segments and not what is removed.
+
+A row is addressed by its id and a 64-bit hash of its text; rows without an id by 126 bits of it. So rows that share an
+id, or have none, lie in different buckets unless their texts are equal too, and then the same holds for all of them.
+Texts stream past what is known of their bucket; no task holds the documents of one.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import discard, ranges, trim, written
+from .shared import cleaned, discard, ranges, small_batches, trim, written
 
 LEAST = 50
 SEED_BYTES = 32
@@ -30,7 +34,8 @@ SPREAD = LEAST - SEED_BYTES + 1  # seeds a window can choose from
 ANCHOR = 13  # bytes whose smallest hash decides; equal to SEED_BYTES modulo SPREAD
 PIECE = 1 << 19
 HOT_SEED = 4096
-LAST = np.iinfo(np.int64).max  # a null id: never smaller than another
+LAST = np.iinfo(np.int64).max  # the rank of a null id: never smaller than another
+MOST_PARTS = 1 << 17
 END = 0xFF  # no byte of UTF-8
 DEPTH = 56
 
@@ -106,12 +111,14 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-# What is removed: document, tag of its text, first byte of a run of windows, windows in it.
-MARK = ("<i8", "<u4", "<u4", "<u4")
-# Seeds of a bucket: documents and tags, seeds of each, then for each seed its hash, the segment's digest, place and windows.
-SEED = ("<i8", "<u4", "<u4", "<u4", "<u8", "<u4", "u1")
-# Segments to compare: key, document, tag, first window, windows, and the bytes of all of them.
-TEXT = ("<u8", "<i8", "<u4", "<u4", "u1", "u1")
+# Documents are given by id and tag (see addressed()), each with the number of its entries.
+# What is removed: first byte of a run of windows, windows in it.
+MARK = ("<i8", "<u8", "<u4", "<u4", "<u4")
+# Seeds of a bucket: for each the low half of its hash, the segment's digest, place and windows.
+SEED = ("<i8", "<u8", "<u4", "<u4", "<u8", "<u4", "u1")
+# Segments to compare: key, first window, windows; when they have been read, with the bytes of all of them.
+ASK = ("<i8", "<u8", "<u4", "<u8", "<u4", "u1")
+TEXT = (*ASK, "u1")
 ROWS = "kind string, bucket long, blob binary"
 ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
@@ -130,14 +137,40 @@ def _split(bucket: np.ndarray):
         yield int(bucket[order[a]]), order[a:b]
 
 
-def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """Which bucket of documents an id belongs to."""
-    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def doc_bucket(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
+    """Which bucket of documents a row belongs to, as in addressed()."""
+    return ((tag >> np.uint64(1)).astype(np.int64) ^ doc.astype(np.int64)) % buckets
+
+
+def rank(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """What ids are compared by: a null one comes last."""
+    return np.where(tag & np.uint64(1), LAST, doc)
+
+
+def pack_docs(kinds, doc, tag, *columns, last=()) -> bytes:
+    """Entries of documents, those of one next to each other; `last` holds what is not a value per entry."""
+    edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    arrays = (doc[edge], tag[edge], np.diff(np.append(edge, len(doc))), *columns, *last)
+    return pack(*(np.ascontiguousarray(x).astype(k) for x, k in zip(arrays, kinds, strict=True)))
+
+
+def unpack_docs(blobs: list[bytes], kinds) -> list[np.ndarray]:
+    """(doc, tag, columns ...) of the entries of all blobs."""
+    parts = [unpack(b, *kinds) for b in blobs]
+    columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
+    return [np.repeat(columns[0], columns[2]), np.repeat(columns[1], columns[2]), *columns[3:]]
+
+
+def _by_doc(kind: str, kinds, buckets: int, doc, tag, *columns):
+    """Rows of entries, dealt by document."""
+    order = np.lexsort((tag, doc))
+    doc, tag, *columns = (x[order] for x in (doc, tag, *columns))
+    for b, where in _split(doc_bucket(doc, tag, buckets)):
+        yield kind, b, pack_docs(kinds, doc[where], tag[where], *(x[where] for x in columns))
 
 
 def _mark_rows(doc, tag, at, n, buckets: int):
-    for b, where in _split(doc_bucket(doc, buckets)):
-        yield "mark", b, pack(doc[where].astype("<i8"), tag[where].astype("<u4"), at[where].astype("<u4"), n[where].astype("<u4"))
+    return _by_doc("mark", MARK, buckets, doc, tag, at, n)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -156,50 +189,53 @@ def _first_docs(seed, digest, doc):
     return order, doc[order][starts][group] if len(order) else doc
 
 
-def _seeds(buckets: int, doc_buckets: int, flush: int = 24 << 20):
+def _seeds(buckets: int, flush: int = 8 << 20):
     """Seeds by bucket; of equal segments met here only those of the smallest document go on, the rest is removed."""
 
-    def run(batches):
-        held, size = [], 0
+    def close(heads, held):
+        docs, tags = (np.concatenate([h[k] for h in heads]) for k in (0, 1))
+        which, at, n, seed, digest = (np.concatenate([h[k] for h in held]) for k in range(5))
+        doc, tag = docs[which], tags[which]
+        order, least = _first_docs(seed, digest, rank(doc, tag))
+        gone = order[rank(doc, tag)[order] > least]
+        stay = np.ones(len(doc), bool)
+        stay[gone] = False
+        yield from _rows(list(_mark_rows(doc[gone], tag[gone], at[gone], n[gone], buckets)))
+        place = np.flatnonzero(stay)
+        out = []
+        for b, sub in _split((seed[place] >> np.uint64(32)).astype(np.int64) % buckets):
+            p = place[sub]
+            out.append(("seed", b, pack_docs(SEED, doc[p], tag[p], seed[p] & np.uint64(0xFFFFFFFF), digest[p], at[p], n[p])))
+        yield from _rows(out)
 
-        def close():
-            docs, tags = np.array([h[0] for h in heads], np.int64), np.array([h[1] for h in heads], np.uint32)
-            which, at, n, seed, digest = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(5))
-            doc, tag = docs[which], tags[which]
-            order, least = _first_docs(seed, digest, doc)
-            gone = order[doc[order] > least]
-            stay = np.ones(len(doc), bool)
-            stay[gone] = False
-            yield from _rows(list(_mark_rows(doc[gone], tag[gone], at[gone], n[gone], doc_buckets)))
-            place = np.flatnonzero(stay)
-            out = []
-            for b, sub in _split((seed[place] >> np.uint64(32)).astype(np.int64) % buckets):
-                p = place[sub]
-                edge = np.flatnonzero(np.concatenate([[True], which[p][1:] != which[p][:-1]]))
-                out.append(("seed", b, pack(doc[p][edge].astype("<i8"), tag[p][edge].astype("<u4"), np.diff(np.append(edge, len(p))).astype("<u4"), (seed[p] & np.uint64(0xFFFFFFFF)).astype("<u4"), digest[p].astype("<u8"), at[p].astype("<u4"), n[p].astype("u1"))))
-            yield from _rows(out)
-
-        heads: list[tuple[int, int]] = []
+    def run(batches):
+        heads, held, known, size = [], [], 0, 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            todo, weight = [], 0
-            for i, t in zip(ids, texts, strict=True):
-                t = t or b""
-                heads.append((LAST if i is None else i, zlib.crc32(t)))
-                for a in range(0, max(1, len(t) - LEAST + 1), PIECE):
-                    todo.append((len(heads) - 1, a, t[a : a + PIECE + LEAST - 1]))
-                    weight += len(todo[-1][2])
-                    if weight >= PIECE:
-                        held.append(_found(todo))
-                        todo, size, weight = [], size + weight, 0
-            if todo:
-                held.append(_found(todo))
-                size += weight
-            if size >= flush:
-                yield from close()
-                held, heads, size = [], [], 0
+            for part in small_batches(batch, "text", 1 << 20):
+                heads.append((part.column("doc").to_numpy(), part.column("tag").to_numpy().view(np.uint64)))
+                todo, weight = [], 0
+                for k, t in enumerate(part.column("text").cast(pa.binary()).to_pylist(), known):
+                    t = t or b""
+                    for a in range(0, max(1, len(t) - LEAST + 1), PIECE):
+                        todo.append((k, a, t[a : a + PIECE + LEAST - 1]))
+                        weight += len(todo[-1][2])
+                        if weight >= PIECE:
+                            held.append(_found(todo))
+                            todo, size, weight = [], size + weight, 0
+                        if size >= flush:
+                            yield from close(heads, held)
+                            held, size = [], 0
+                if todo:
+                    held.append(_found(todo))
+                    size += weight
+                known += part.num_rows
+                size += 16 * part.num_rows
+                if size >= flush:
+                    yield from close(heads, held)
+                    heads, held, known, size = [], [], 0, 0
         if held:
-            yield from close()
+            yield from close(heads, held)
+        trim()
 
     return run
 
@@ -227,7 +263,7 @@ def _by_bucket(batches):
         yield *key, blobs
 
 
-def _settle(doc_buckets: int, hot_seed: int):
+def _settle(buckets: int, hot_seed: int):
     """Equal segments settled; segments of a seed that different documents still share, as candidates."""
 
     def run(batches):
@@ -235,61 +271,108 @@ def _settle(doc_buckets: int, hot_seed: int):
             if kind == "mark":
                 yield from _rows([("mark", bucket, b) for b in blobs])
                 continue
-            parts = [unpack(b, *SEED) for b in blobs]
-            runs = np.concatenate([p[2] for p in parts])
-            doc, tag = np.repeat(np.concatenate([p[0] for p in parts]), runs), np.repeat(np.concatenate([p[1] for p in parts]), runs)
-            seed, digest, at, n = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5, 6))
-            del parts
-            order, least = _first_docs(seed, digest, doc)
-            gone = doc[order] > least
-            out = list(_mark_rows(*(x[order[gone]] for x in (doc, tag, at, n)), doc_buckets))
+            doc, tag, seed, digest, at, n = unpack_docs(blobs, SEED)
+            by = rank(doc, tag)
+            order, least = _first_docs(seed, digest, by)
+            gone = by[order] > least
+            out = list(_mark_rows(*(x[order[gone]] for x in (doc, tag, at, n)), buckets))
             rest = order[~gone]
-            group = _groups(seed[rest]) if len(rest) else rest
             if len(rest):
+                group = _groups(seed[rest])
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
-                several = (np.maximum.reduceat(doc[rest], starts) > np.minimum.reduceat(doc[rest], starts))[group]
-                hot = (np.diff(np.append(starts, len(rest))) > hot_seed)[group]
-                r, h = rest[several], hot[several]
-                key = mix(seed[r].astype(np.uint64), np.full(len(r), bucket, np.uint64))
-                for b, where in _split(doc_bucket(doc[r], doc_buckets)):
-                    w = r[where]
-                    out.append(("ask", b, pack(np.where(h[where], np.uint64(0), key[where] | np.uint64(1)).astype("<u8"), doc[w].astype("<i8"), tag[w].astype("<u4"), at[w].astype("<u4"), n[w].astype("u1"), np.zeros(0, "u1"))))
+                several = (np.maximum.reduceat(by[rest], starts) > np.minimum.reduceat(by[rest], starts))[group]
+                hot = (np.diff(np.append(starts, len(rest))) > hot_seed)[group][several]
+                r = rest[several]
+                key = np.where(hot, np.uint64(0), mix(seed[r].astype(np.uint64), np.full(len(r), bucket, np.uint64)) | np.uint64(1))
+                out += _by_doc("ask", ASK, buckets, doc[r], tag[r], key, at[r], n[r])
             yield from _rows(out)
+        trim()
 
     return run
 
 
-def _texts_of(buckets: int, doc_buckets: int):
-    """Candidates of a bucket of documents with their bytes; a hot seed's windows each on their own."""
+class Entries:
+    """The entries of a bucket of documents, looked up by document."""
 
-    def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        text = {(LAST if i is None else i, zlib.crc32(t or b"")): t for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True)}
-        out: list[tuple[str, int, bytes]] = []
-        for blob in asked.column("blob").to_pylist():
-            key, doc, tag, at, n, _ = unpack(blob, *TEXT)
-            if not len(key):
+    def __init__(self, blobs: list[bytes], kinds):
+        doc, tag, *columns = unpack_docs(blobs, kinds)
+        order = np.lexsort((tag, doc))
+        doc, tag, *self.columns = (x[order] for x in (doc, tag, *columns))
+        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        self.where = dict(zip(zip(doc[edges].tolist(), tag[edges].tolist(), strict=True), zip(edges.tolist(), np.append(edges, len(doc))[1:].tolist(), strict=True), strict=True))
+
+    def of(self, doc: int, tag: int) -> list[np.ndarray] | None:
+        found = self.where.get((doc, tag))
+        return None if found is None else [c[found[0] : found[1]] for c in self.columns]
+
+
+def _beside(batches, kinds, limit: int = 2 << 20):
+    """(entries of the bucket, documents) for slices of the documents of a bucket, whose entries come before them."""
+    bucket, blobs, entries = None, [], None
+    for batch in batches:
+        keys, is_doc = batch.column("bucket").to_numpy(), batch.column("blob").is_null().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (is_doc[1:] != is_doc[:-1]), [True]])).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if keys[a] != bucket:
+                bucket, blobs, entries = keys[a], [], None
+            if not is_doc[a]:
+                blobs += part.column("blob").to_pylist()
                 continue
-            raw = [text[d, g][a : a + LEAST - 1 + k] for d, g, a, k in zip(doc.tolist(), tag.tolist(), at.tolist(), n.tolist(), strict=True)]
-            hot = np.flatnonzero(key == 0)
-            if len(hot):
-                wide = n[hot].astype(np.int64)
-                src, step = np.repeat(hot, wide), ranges(np.zeros(len(hot), np.int64), wide)
-                raw += [raw[i][k : k + LEAST] for i, k in zip(src.tolist(), step.tolist(), strict=True)]
-                pieces = np.frombuffer(b"".join(raw[len(key) :]) + b"\0" * 8, np.uint8)
-                hashed = window_hash(words_at_every_byte(pieces), np.arange(len(src)) * LEAST) | np.uint64(1)
-                # of equal windows here the smallest document's go on
-                order, least = _first_docs(hashed, hashed, doc[src])
-                gone = order[doc[src][order] > least]
-                out += _mark_rows(doc[src][gone], tag[src][gone], (at[src] + step)[gone], np.ones(len(gone), np.int64), doc_buckets)
-                keep = np.ones(len(src), bool)
-                keep[gone] = False
-                cold, left = key != 0, np.flatnonzero(keep)
-                raw = [raw[i] for i in np.flatnonzero(cold).tolist()] + [raw[len(key) + i] for i in left.tolist()]
-                key, doc, tag, at, n = (np.concatenate([x[cold], y[left]]) for x, y in ((key, hashed), (doc, doc[src]), (tag, tag[src]), (at, (at[src] + step).astype("<u4")), (n, np.ones(len(src), "u1"))))
-            for b, where in _split((key >> np.uint64(20)).astype(np.int64) % buckets):
-                out.append(("text", b, pack(key[where].astype("<u8"), doc[where].astype("<i8"), tag[where].astype("<u4"), at[where].astype("<u4"), n[where].astype("u1"), np.frombuffer(b"".join(raw[i] for i in where.tolist()), np.uint8))))
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], schema=ARROW)
+            if entries is None:
+                entries, blobs = Entries(blobs, kinds), []
+            for small in small_batches(part, "text", limit):
+                yield entries, small
+
+
+def _texts_of(buckets: int, flush: int = 4 << 20):
+    """Candidates with their bytes, by key; a hot seed's windows each on their own."""
+
+    def close(held):
+        doc, tag, key, at, n = (np.concatenate([h[k] for h in held]) for k in range(5))
+        raw, out = np.concatenate([h[5] for h in held]), []
+        size = n.astype(np.int64) + LEAST - 1
+        start = np.cumsum(size) - size
+        hot = np.flatnonzero(key == 0)
+        if len(hot):
+            wide = n[hot].astype(np.int64)
+            src, step = np.repeat(hot, wide), ranges(np.zeros(len(hot), np.int64), wide)
+            hashed = window_hash(words_at_every_byte(np.append(raw, np.zeros(8, np.uint8))), start[src] + step) | np.uint64(1)
+            # of equal windows here the smallest document's go on
+            by = rank(doc[src], tag[src])
+            order, least = _first_docs(hashed, hashed, by)
+            gone = order[by[order] > least]
+            out += _mark_rows(doc[src][gone], tag[src][gone], at[src][gone] + step[gone], np.ones(len(gone), np.int64), buckets)
+            left = np.ones(len(src), bool)
+            left[gone] = False
+            src, step, hashed, cold = src[left], step[left], hashed[left], np.flatnonzero(key != 0)
+            start, size = np.concatenate([start[cold], start[src] + step]), np.concatenate([size[cold], np.full(len(src), LEAST)])
+            key, at, n = np.concatenate([key[cold], hashed]), np.concatenate([at[cold], at[src] + step.astype("<u4")]), np.concatenate([n[cold], np.ones(len(src), "u1")])
+            doc, tag = (np.concatenate([x[cold], x[src]]) for x in (doc, tag))
+        for b, where in _split((key >> np.uint64(20)).astype(np.int64) % buckets):
+            out.append(("text", b, pack_docs(TEXT, doc[where], tag[where], key[where], at[where], n[where], last=(raw[ranges(start[where], size[where])],))))
+        yield from _rows(out)
+
+    def run(batches):
+        held, size = [], 0
+        for entries, part in _beside(batches, ASK):
+            for doc, tag, text in zip(part.column("doc").to_pylist(), part.column("tag").to_numpy().view(np.uint64).tolist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                found = entries.of(doc, tag)
+                if found is None:
+                    continue
+                key, at, n = found
+                # a document may have more candidates than are held at a time
+                for a in range(0, len(at), 1 << 16):
+                    where = slice(a, a + (1 << 16))
+                    raw = np.frombuffer(text, np.uint8)[ranges(at[where].astype(np.int64), n[where].astype(np.int64) + LEAST - 1)]
+                    held.append((np.full(len(at[where]), doc), np.full(len(at[where]), tag, np.uint64), key[where], at[where], n[where], raw))
+                    size += len(raw)
+                    if size >= flush:
+                        yield from close(held)
+                        held, size = [], 0
+        if held:
+            yield from close(held)
+        trim()
 
     return run
 
@@ -383,7 +466,7 @@ def repeated_windows(raw: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[n
     return which[hit], hit - starts[which[hit]]
 
 
-def _compare(doc_buckets: int, chunk: int = 2 << 20):
+def _compare(buckets: int, chunk: int = 1 << 20):
     """Windows that segments of one key share, key by key in chunks of bounded size."""
 
     def run(batches):
@@ -391,9 +474,7 @@ def _compare(doc_buckets: int, chunk: int = 2 << 20):
             if kind == "mark":
                 yield from _rows([("mark", bucket, b) for b in blobs])
                 continue
-            parts = [unpack(b, *TEXT) for b in blobs]
-            key, doc, tag, at, n, raw = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            del parts
+            doc, tag, key, at, n, raw = unpack_docs(blobs, TEXT)
             lengths = n.astype(np.int64) + LEAST - 1
             starts = np.cumsum(lengths) - lengths
             order = np.argsort(key, kind="stable")
@@ -404,10 +485,11 @@ def _compare(doc_buckets: int, chunk: int = 2 << 20):
                 b = int(edges[min(len(edges) - 1, np.searchsorted(size[edges], size[a] + chunk))])
                 b = b if b > a else int(edges[np.searchsorted(edges, a, side="right")])
                 rows = order[a:b]
-                seg, step = repeated_windows(raw[ranges(starts[rows], lengths[rows])], doc[rows], n[rows])
+                seg, step = repeated_windows(raw[ranges(starts[rows], lengths[rows])], rank(doc[rows], tag[rows]), n[rows])
                 hit = rows[seg]
-                yield from _rows(list(_mark_rows(doc[hit], tag[hit], at[hit] + step, np.ones(len(hit), np.int64), doc_buckets)))
+                yield from _rows(list(_mark_rows(doc[hit], tag[hit], at[hit] + step, np.ones(len(hit), np.int64), buckets)))
                 a = b
+        trim()
 
     return run
 
@@ -421,59 +503,50 @@ def covered(length: int, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int
     return gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
 
-def _apply(docs: pa.Table, marks: pa.Table):
-    """(rows of docs, kept bytes, removed bytes, spans) of a bucket of documents."""
-    parts = [unpack(b, *MARK) for b in marks.column("blob").to_pylist()]
-    doc, tag, at, n = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
-    order = np.lexsort((tag, doc))
-    doc, tag, at, n = doc[order], tag[order], at[order].astype(np.int64), n[order]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag.astype(np.int64)) != 0)])), len(doc)) if len(doc) else np.zeros(1, int)
-    where = {(int(doc[a]), int(tag[a])): (a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
-    for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        t = t or b""
-        a, b = where.get((LAST if i is None else i, zlib.crc32(t)), (0, 0))
-        if a == b:
-            yield t, 0, 0
+def _apply(entries: Entries, docs: pa.RecordBatch):
+    """(kept bytes, removed bytes, spans) of documents."""
+    for doc, tag, text in zip(docs.column("doc").to_pylist(), docs.column("tag").to_numpy().view(np.uint64).tolist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        text, found = text or b"", entries.of(doc, tag)
+        if found is None:
+            yield text, 0, 0
             continue
-        gone, spans = covered(len(t), at[a:b], n[a:b])
-        yield np.frombuffer(t, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+        gone, spans = covered(len(text), found[0].astype(np.int64), found[1])
+        yield np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
-    """(rows of what is removed by bucket of documents, number of those buckets) for docs of (doc_id, text)."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(1 << 18, max(16, total // bucket_bytes)))
-    seeds = docs.mapInArrow(_seeds(buckets, buckets), ROWS)
-    settled = written(seeds.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_settle(buckets, hot_seed), ROWS))
-    del seeds
-    asked = settled.where("kind = 'ask'").select("bucket", "blob")
-    texts = by_bucket(with_bucket(docs, buckets), asked, buckets).applyInArrow(_texts_of(buckets, buckets), ROWS)
-    compared = written(texts.repartition(buckets, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_compare(buckets), ROWS))
-    del texts, asked
-    return settled.where("kind = 'mark'").select("bucket", "blob").unionByName(compared.select("bucket", "blob")), buckets
-
+def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with its columns as c0, c1, ... and then doc, tag and text.
 
-def by_bucket(docs: DataFrame, rows: DataFrame, buckets: int):
-    """Documents and rows of the same bucket together; as many partitions as buckets, whatever the session's setting."""
-    return docs.repartition(buckets, "bucket").groupBy("bucket").cogroup(rows.repartition(buckets, "bucket").groupBy("bucket"))
+    doc is the id, or for a null one a hash of the text; tag is another hash of it, odd where the id is null.
+    """
+    text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    tag = F.xxhash64(text).bitwiseAND(-2).bitwiseOR(key.isNull().cast("long"))
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
+    return docs.select(*others, F.coalesce(key, F.xxhash64(F.lit(1), text)).alias("doc"), tag.alias("tag"), text.alias("text"))
 
 
-def with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs with the bucket that doc_bucket() gives their ids, in Arrow batches."""
+def beside(docs: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of addressed() and of (bucket, blob) by bucket, a bucket's blobs before its documents."""
+    bucket = F.pmod(F.shiftrightunsigned("tag", 1).bitwiseXOR(F.col("doc")), F.lit(buckets).cast("long"))
+    both = docs.withColumns({"bucket": bucket, "blob": F.lit(None).cast("binary")}).unionByName(rows.select("bucket", "blob"), allowMissingColumns=True)
+    return both.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket", F.col("blob").isNull())
 
-    def run(batches):
-        for batch in batches:
-            ids = np.array([LAST if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(doc_bucket(ids, buckets))], names=[*batch.schema.names, "bucket"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("bucket", T.LongType())]))
 
+def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
+    """(rows of what is removed by bucket of documents, number of those buckets) for docs of addressed().
 
-def _digest_rows(docs: pa.Table, found: pa.Table) -> pa.Table:
-    rows = [(len(kept) + gone, gone, spans, hashlib.sha256(kept).hexdigest()) for kept, gone, spans in _apply(docs, found)]
-    n, gone, spans, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table({"doc_id": docs.column("doc_id").combine_chunks() if len(rows) else pa.array([], pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+    Buckets are of about bucket_bytes of text at every size. A task takes one after another, so the number of
+    partitions is bounded and what a task holds is too.
+    """
+    slim = docs.select("doc", "tag", "text")
+    with cleaned(docs.sparkSession):
+        total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(max(16, total // bucket_bytes)) | 1
+    dealt = lambda rows: rows.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("kind", "bucket")
+    settled = written(dealt(slim.mapInArrow(_seeds(buckets), ROWS)).mapInArrow(_settle(buckets, hot_seed), ROWS))
+    texts = beside(slim, settled.where("kind = 'ask'"), buckets).mapInArrow(_texts_of(buckets), ROWS)
+    compared = written(dealt(texts).mapInArrow(_compare(buckets), ROWS))
+    return settled.where("kind = 'mark'").unionByName(compared), buckets
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -483,29 +556,37 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **s
     counts as empty. A null id is never smaller than another and null ids do not remove from each other, nor do rows
     that repeat an id. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = addressed(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text")
     found, buckets = marks(rows, **settings)
-    return by_bucket(with_bucket(rows, buckets), found, buckets).applyInArrow(_digest_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+    def run(batches):
+        for entries, part in _beside(batches, MARK):
+            done = [(len(kept) + gone, gone, spans, hashlib.sha256(kept).hexdigest()) for kept, gone, spans in _apply(entries, part)]
+            yield pa.RecordBatch.from_arrays([part.column("c0"), *(pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        trim()
+
+    return beside(rows, found, buckets).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with the removed bytes gone from text_col, and the columns n_bytes and n_removed.
 
     A character that was cut in two goes as well. A null text stays null. Rules for ids as in digests(). Other columns
-    pass through; bucket, n_bytes and n_removed must not be among them, and the columns must be named doc_id and text
-    where other names were not given.
+    pass through whatever their names; n_bytes and n_removed are replaced if they are there.
     """
-    rows = docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"})
-    found, buckets = marks(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **settings)
-    out = T.StructType([*rows.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-    def apply(docs: pa.Table, found: pa.Table) -> pa.Table:
-        docs = docs.drop_columns(["bucket"])
-        done = list(_apply(docs, found))
-        nulls = docs.column("text").is_null().to_pylist()
-        texts = [None if null else kept.decode(errors="ignore") for (kept, _, _), null in zip(done, nulls, strict=True)]
-        docs = docs.set_column(docs.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-        return docs.append_column("n_bytes", pa.array([len(k) + g for k, g, _ in done], pa.int64())).append_column("n_removed", pa.array([g for _, g, _ in done], pa.int64()))
-
-    cleaned = by_bucket(with_bucket(rows, buckets), found, buckets).applyInArrow(apply, out)
-    return cleaned.withColumnsRenamed({"doc_id": id_col, "text": text_col})
+    docs = docs.drop("n_bytes", "n_removed")
+    rows = addressed(docs, id_col, text_col)
+    found, buckets = marks(rows, **settings)
+    others = [f for f in rows.schema.fields if f.name not in ("doc", "tag", "text")]
+    out = T.StructType([*others, T.StructField("text", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())])
+
+    def run(batches):
+        for entries, part in _beside(batches, MARK):
+            done = list(_apply(entries, part))
+            nulls = part.column("text").is_null().to_pylist()
+            texts = [None if null else kept.decode(errors="ignore") for (kept, _, _), null in zip(done, nulls, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), pa.array(texts, pa.string()), pa.array([len(k) + g for k, g, _ in done], pa.int64()), pa.array([g for _, g, _ in done], pa.int64())], names=[f.name for f in out])
+        trim()
+
+    cleaned_ = beside(rows, found, buckets).mapInArrow(run, out)
+    return cleaned_.select(*[F.col("text" if c == text_col else f"c{k}").alias(c) for k, c in enumerate(docs.columns)], "n_bytes", "n_removed")

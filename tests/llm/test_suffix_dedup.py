@@ -90,5 +90,33 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, len(base), 0, 0), (2, len(base) - 700_000 + 1, len(base) - 700_000, 1), (3, 100, 100, 1)]
 
 
+def test_many_rows_without_an_id_and_equal_checksums(spark):
+    long = "some words that two of these texts share, and which are more than fifty bytes long; "
+    # texts of one CRC-32 and different lengths, all with the same id or none
+    texts = [t for t in (("plumless", long + "plumless"), ("buckeroo", long * 2 + "buckeroo")) for t in t]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts] + [(None, f"{long}{k}" + "y" * k) for k in range(300)] + [(9, f"{long}{k}") for k in range(300)] + [(None, long)] * 5 + [(3, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in sd.digests(df, bucket_bytes=4000).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_rows_without_an_id_lie_in_many_buckets(spark):
+    rows = [(None, f"text number {k}") for k in range(400)] + [(5, f"text number {k}") for k in range(400)]
+    base = sd.addressed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    found = [(r.bucket, r.doc, r.tag) for r in sd.beside(base, spark.createDataFrame([], "bucket long, blob binary"), 17).collect()]
+    doc, tag = np.array([f[1] for f in found]), np.array([f[2] for f in found], np.int64).view(np.uint64)
+    assert sd.doc_bucket(doc, tag, 17).tolist() == [f[0] for f in found]
+    counts = np.bincount([f[0] for f in found], minlength=17)
+    assert counts.max() < 3 * 800 / 17
+
+
+def test_clashing_names(spark):
+    long = "some words that two of these texts share, and which are more than fifty bytes long"
+    rows = [(i, long, 1, 2, 3, b"x", i, "k") for i in range(3)]
+    got = sd.clean(spark.createDataFrame(rows, "doc_id long, text string, bucket int, n_bytes int, doc long, blob binary, tag long, c0 string"))
+    assert got.columns == ["doc_id", "text", "bucket", "doc", "blob", "tag", "c0", "n_bytes", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.bucket, r.doc, bytes(r.blob), r.tag, r.c0, r.n_bytes, r.n_removed) for r in got.collect()) == [(i, "" if i else long, 1, 3, b"x", i, "k", len(long), len(long) if i else 0) for i in range(3)]
+
+
 def test_empty(spark):
     assert sd.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
