@@ -1,14 +1,20 @@
 """Licence scans with DataFrame functions only (operator 10).
 
-Every run of up to three non-blank lines of a document is a passage. It is compared with licence templates by the Dice
-coefficient over distinct word bigrams. A passage of n bigrams can reach coefficient t only with templates of
-n*t/(2-t) to n*(2-t)/t bigrams, so other templates are never compared and passages outside all bounds are never built.
+A passage is any run of words of a document, over line ends or within a line, that begins and ends with a word bigram of
+a licence template and has at most (2 - t) / t times as many bigrams. It is compared with the template by the Dice
+coefficient over word bigrams; t is the least coefficient that counts. A document can hold such a passage only if it
+holds at least t / (2 - t) of the template's distinct bigrams, so other templates are never compared.
+
+Only a document's bigrams that are in some template leave its row, so what is sorted and compared afterwards grows with
+the licence text in the corpus and, for every bigram, with what lies within a template's length of it.
 """
 
 from __future__ import annotations
 
+import math
+
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Public licence notices and the opening paragraphs of public licences.
@@ -40,63 +46,91 @@ TEMPLATES = [
 ]
 
 BREAKS = r"[^\p{L}\p{N}]+"
-MAX_LINES = 3
 
 
-def bigrams(text: str) -> list[str]:
-    """Distinct word bigrams of a template, normalised as documents are."""
-    words = regex.sub(BREAKS, " ", text.lower()).strip().split(" ")
+def words_of(text: str) -> list[str]:
+    """Words of a template, normalised as documents are."""
+    return regex.sub(BREAKS, " ", text.lower()).strip().split(" ")
+
+
+def bigrams(words: list[str]) -> list[str]:
+    """Distinct word bigrams."""
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
-def _bounds(n: int, least: float) -> tuple[float, float]:
-    """Bigram counts that can reach `least` with n bigrams, a hair wider than exact against rounding."""
-    return n * least / (2 - least) - 1e-9, n * (2 - least) / least + 1e-9
+def bounds(templates: list[tuple[str, str]], least: float) -> list[tuple[str, list[str], int, int]]:
+    """(licence, distinct bigrams, fewest of them that a passage shares, most bigrams that a passage has) of each template."""
+    out = []
+    for name, text in templates:
+        words = words_of(text)
+        if grams := bigrams(words):
+            out.append((name, grams, math.ceil(len(grams) * least / (2 - least) - 1e-9), math.floor((len(words) - 1) * (2 - least) / least + 1e-9)))
+    if not out:
+        raise ValueError("no template has two words")
+    return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, max_lines: int = MAX_LINES) -> DataFrame:
-    """(doc_id, license, dice, line, n_lines): the best passage of each licence that a document reaches `least` with.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """(doc_id, license, dice, word, n_words): the best passage of each licence that a document reaches `least` with.
 
-    line counts a document's non-blank lines from 1; ties go to the earlier and then the shorter passage. Lines end at
-    a line feed. Null and empty texts, and words without a neighbour, match nothing. Rows that repeat an id, or have a
-    null one, are taken together. An empty table gives no rows. Other columns are not read.
+    Dice is 2 * shared / (passage + template): distinct bigrams, but for those of a passage that the template lacks, which
+    count every time. word counts a document's words from 1; ties go to the earlier and then the shorter passage. Null
+    and empty texts, and words without a neighbour, match nothing. Rows that repeat an id, or have a null one, are taken
+    together, each with passages of its own. An empty table gives no rows. Other columns are not read.
     """
-    known = [(name, grams, *_bounds(len(grams), least)) for name, text in templates if (grams := bigrams(text))]
-    if not known:
-        raise ValueError("no template has two words")
-    # repeats make distinct bigrams fewer than words, so only the lower bound prunes by words; both prune by bigrams
-    fewest = min(x[2] for x in known) + 1
-    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, g, lo, hi in known])
-
-    lines = F.filter(F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), BREAKS, " "))), lambda x: x != "")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("lines")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_lines), F.size("lines") - i + 1)), lambda s: F.struct(i.alias("line"), s.alias("n_lines"))),
-    )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("lines")).where(F.size("lines") > 0)
-    passages = rows.select("doc_id", "lines", F.explode(F.flatten(runs)).alias("run")).select("doc_id", F.col("run.line").alias("line"), F.col("run.n_lines").alias("n_lines"), F.split(F.array_join(F.slice("lines", F.col("run.line"), F.col("run.n_lines")), " "), " ").alias("words"))
-    passages = passages.where(F.size("words") >= F.lit(fewest))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat(F.get("words", i - 1), F.lit(" "), F.get("words", i))))
-    sized = passages.select("doc_id", "line", "n_lines", pairs.alias("grams")).withColumn("n", F.size("grams"))
-    fitting = F.filter(listed, lambda t: (F.col("n") >= t["lo"]) & (F.col("n") <= t["hi"]))
-    scored = F.filter(F.transform(fitting, lambda t: F.struct(t["name"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("n") + t["n"])).alias("dice"))), lambda x: x["dice"] >= least)
-    hits = sized.select("doc_id", "line", "n_lines", F.explode(scored).alias("hit"))
-    order = F.struct(F.col("hit.dice").alias("dice"), (-F.col("line")).alias("line"), (-F.col("n_lines")).alias("n_lines"))
-    best = hits.groupBy("doc_id", F.col("hit.license").alias("license")).agg(F.max(order).alias("best"))
-    return best.select("doc_id", "license", F.col("best.dice").alias("dice"), (-F.col("best.line")).alias("line"), (-F.col("best.n_lines")).alias("n_lines"))
-
-
-def scan_sql(least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, max_lines: int = MAX_LINES) -> str:
+    known = bounds(templates, least)
+    every = sorted({g for _, grams, _, _ in known for g in grams})
+    heads = sorted({g.split(" ")[0] for g in every})
+    longest = max(most for *_, most in known)
+    listed = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(name).alias("license"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(fewest).alias("fewest"), F.lit(most).alias("most")) for k, (name, grams, fewest, most) in enumerate(known)])
+
+    text = F.col(f"`{text_col}`").cast("string")
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), BREAKS, " ")), " ")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), words.alias("words"))
+    # places of words that begin a bigram of a template, then of those bigrams
+    begin = F.filter(F.when(F.size("words") > 1, F.sequence(F.lit(1), F.size("words") - 1)), lambda i: F.get("words", i - 1).isin(heads))
+    pairs = F.transform(begin, lambda i: F.struct(i.alias("pos"), F.concat(F.get("words", i - 1), F.lit(" "), F.get("words", i)).alias("gram")))
+    found = rows.select("doc_id", "h", F.filter(pairs, lambda x: x["gram"].isin(every)).alias("hits"))
+    found = found.withColumn("kinds", F.array_distinct(F.col("hits.gram")))
+    fitting = F.when(F.size("kinds") >= min(fewest for _, _, fewest, _ in known), F.filter(listed, lambda t: F.size(F.array_intersect(F.col("kinds"), t["grams"])) >= t["fewest"]))
+    # outer, as Spark would else evaluate all of the above in a filter and then once more
+    likely = found.select("doc_id", "h", "hits", F.explode_outer(fitting).alias("t")).where("t is not null")
+    # rows that are equal in id and text have the same passages, so one of them is enough
+    hits = likely.select("doc_id", "h", "t.no", "t.license", F.size("t.grams").alias("n"), "t.fewest", "t.most", F.explode(F.filter("hits", lambda x: F.array_contains("t.grams", x["gram"]))).alias("hit")).distinct()
+    hits = hits.select("doc_id", "h", "no", "license", "n", "fewest", "most", "hit.pos", "hit.gram")
+    place = Window.partitionBy("doc_id", "h", "no")
+    hits = hits.withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("doc_id", "h", "no", "gram").orderBy("pos")), F.lit(0)))
+    near = hits.withColumn("near", F.collect_list(F.struct("pos", "before")).over(place.orderBy("pos").rangeBetween(0, longest - 1)))
+    near = near.withColumn("near", F.filter("near", lambda x: (x["pos"] < F.col("pos") + F.col("most")))).where(F.size("near") >= F.col("fewest"))
+
+    def step(acc, x):
+        """The passage up to x: its bigrams of the template, the distinct ones, and the best passage so far."""
+        hit, kinds = acc["hit"] + 1, acc["kinds"] + (x["before"] < F.col("pos")).cast("int")
+        dice = F.lit(2.0) * kinds / (x["pos"] - F.col("pos") + 1 - hit + kinds + F.col("n"))
+        better = dice > acc["dice"]
+        return F.struct(hit.alias("hit"), kinds.alias("kinds"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"), F.when(better, x["pos"]).otherwise(acc["end"]).alias("end"))
+
+    start = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("kinds"), F.lit(0.0).alias("dice"), F.lit(0).alias("end"))
+    scored = near.select("doc_id", "license", "pos", F.aggregate("near", start, step).alias("best")).where(F.col("best.dice") >= least)
+    order = F.struct(F.col("best.dice").alias("dice"), (-F.col("pos")).alias("word"), (F.col("pos") - F.col("best.end") - 2).alias("n_words"))
+    best = scored.groupBy("doc_id", "license").agg(F.max(order).alias("best"))
+    return best.select("doc_id", "license", F.col("best.dice").alias("dice"), (-F.col("best.word")).alias("word"), (-F.col("best.n_words")).alias("n_words"))
+
+
+def scan_sql(least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> str:
     """The same in DuckDB's SQL, every passage against every template."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(name)}, [{', '.join(map(quote, g))}])" for name, text in templates if (g := bigrams(text)))
+    values = ", ".join(f"({k}, {quote(name)}, {len(grams)}, {most}, {quote(g)})" for k, (name, grams, _, most) in enumerate(bounds(templates, least)) for g in grams)
     return f"""
-        WITH t(license, tg) AS (VALUES {values}),
-        l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '{BREAKS}', ' ', 'g'))), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL),
-        i AS (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS line FROM l),
-        p AS (SELECT doc_id, line, s AS n_lines, string_split(array_to_string(a[line:line + s - 1], ' '), ' ') AS w FROM i, range(1, {max_lines + 1}) r(s) WHERE line + s - 1 <= len(a)),
-        g AS (SELECT doc_id, line, n_lines, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM p WHERE len(w) >= 2),
-        h AS (SELECT doc_id, license, line, n_lines, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS dice
-              FROM g, t WHERE len(g) BETWEEN len(tg) * {least} / (2 - {least}) - 0.001 AND len(tg) * (2 - {least}) / {least} + 0.001),
-        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, line, n_lines) AS r FROM h WHERE dice >= {least})
-        SELECT doc_id, license, dice, CAST(line AS INTEGER) AS line, CAST(n_lines AS INTEGER) AS n_lines FROM b WHERE r = 1"""
+        WITH t(no, license, n, most, gram) AS (VALUES {values}),
+        d AS (SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(text), '{BREAKS}', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT r, doc_id, w, unnest(range(1, len(w))) AS pos FROM d),
+        g AS (SELECT r, doc_id, CAST(pos AS INTEGER) AS pos, w[pos] || ' ' || w[pos + 1] AS gram FROM b),
+        h AS (SELECT r, doc_id, no, license, n, most, pos, coalesce(lag(pos) OVER (PARTITION BY r, no, gram ORDER BY pos), 0) AS before FROM g JOIN t USING (gram)),
+        p AS (SELECT s.doc_id, s.license, s.n, s.pos AS word, e.pos AS last,
+                     count(*) OVER x AS hit, sum(CASE WHEN e.before < s.pos THEN 1 ELSE 0 END) OVER x AS kinds
+              FROM h s JOIN h e ON s.r = e.r AND s.no = e.no AND e.pos BETWEEN s.pos AND s.pos + s.most - 1
+              WINDOW x AS (PARTITION BY s.r, s.no, s.pos ORDER BY e.pos)),
+        c AS (SELECT doc_id, license, word, last - word + 2 AS n_words, CAST(2 * kinds AS DOUBLE) / CAST(last - word + 1 - hit + kinds + n AS DOUBLE) AS dice FROM p),
+        o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, word, n_words) AS k FROM c WHERE dice >= {least})
+        SELECT doc_id, license, dice, word, CAST(n_words AS INTEGER) AS n_words FROM o WHERE k = 1"""
