@@ -3,6 +3,9 @@
 Texts are cut before every space, where no piece of the vocabulary can span, and each distinct word is merged once.
 The words of a batch lie side by side in one flat array of symbols. A round finds for every word its best pair (the
 vocabulary's best score, then the leftmost), merges them all at once and compacts the arrays, until no pair remains.
+
+A round merges one pair of a word, so words of more than 256 symbols, such as text without spaces, would take quadratic
+time. Their pairs wait in a heap in the same order instead.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranges, small_batches
+from .shared import ranges, small_batches, trim
 from .words import IdStore, factorise
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
+LONG = 256
 
 
 class PieceModel:
@@ -66,6 +71,7 @@ class PieceModel:
                     merged.append(i)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ids = np.array(keys, np.int64)[order], np.array(merged, np.int64)[order]
+        self.made = dict(zip(self.pair_keys.tolist(), zip(self.rank[self.pair_ids].tolist(), self.pair_ids.tolist(), strict=True), strict=True))
         self.surface = [b"" if p.type == 3 else p.piece.replace(SPACE, " ").encode() for p in pieces]
         for i in range(256):
             self.surface[self.bytes_at + i] = bytes([i])
@@ -87,6 +93,13 @@ class PieceModel:
         symbols = self.points[code]
         word = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_words = [], []
+        if len(long := np.flatnonzero(sizes > LONG)):
+            starts = np.cumsum(sizes) - sizes
+            for i in long.tolist():
+                done_symbols.append(self._merge_long(symbols[starts[i] : starts[i] + sizes[i]]))
+                done_words.append(np.full(len(done_symbols[-1]), i))
+            short = (sizes <= LONG)[word]
+            symbols, word = symbols[short], word[short]
         while len(symbols) > 1:
             made = self.pairs(symbols[:-1], symbols[1:])
             made[word[:-1] != word[1:]] = -1
@@ -120,6 +133,29 @@ class PieceModel:
         order = np.argsort(word, kind="stable")
         return self._fall_back(symbols[order], word[order], len(words))
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The symbols of one word after all merges: best rank first, then the leftmost."""
+        n, made = len(symbols), self.made
+        keys = (symbols[:-1] << 21 | symbols[1:]).tolist()
+        heap = [(made[k][0], i, k) for i, k in enumerate(keys) if k in made]
+        heapify(heap)
+        symbol, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            _, i, key = heappop(heap)
+            j = after[i]
+            if symbol[i] < 0 or j == n or symbol[i] << 21 | symbol[j] != key:
+                continue  # one of the two has been merged since
+            symbol[i], symbol[j] = made[key][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (key := symbol[i] << 21 | symbol[k]) in made:
+                    heappush(heap, (made[key][0], i, key))
+            if (k := before[i]) >= 0 and (key := symbol[k] << 21 | symbol[i]) in made:
+                heappush(heap, (made[key][0], k, key))
+        done = np.array(symbol, np.int64)
+        return done[done >= 0]
+
     def _fall_back(self, symbols: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Code points outside the vocabulary as their UTF-8 bytes."""
         point = symbols - self.size
@@ -277,6 +313,7 @@ def _digests(path: str):
                     ids_sha.append(hashlib.sha256(b" ".join([*map(names.__getitem__, listed[a:b]), end])).hexdigest())
                 decoded = [hashlib.sha256(t).hexdigest() for t in codec.decode(flat, sizes)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1), pa.array(ids_sha), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     return run
 

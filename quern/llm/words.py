@@ -18,20 +18,21 @@ def factorise(texts: pa.Array, split) -> tuple[np.ndarray, np.ndarray, list[str]
 
 
 class IdStore:
-    """Ids of words that were met before, in one flat array; emptied when it grows past its bound."""
+    """Ids of words that were met before, in one flat array; emptied when it grows past a bound of words or characters."""
 
-    def __init__(self, encode, bound: int = 700_000, dtype=np.uint16):
-        self.encode, self.bound, self.dtype = encode, bound, dtype
+    def __init__(self, encode, bound: int = 700_000, characters: int = 16 << 20, dtype=np.uint16):
+        self.encode, self.bound, self.characters, self.dtype = encode, bound, characters, dtype
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(4096, self.dtype), 0
 
     def places(self, words: list[str]) -> np.ndarray:
         """Numbers of the words, encoding those that are new."""
-        if len(self.known) > self.bound:
+        if len(self.known) > self.bound or self.held > self.characters:
             self._clear()
         get = self.known.get
         found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -39,6 +40,9 @@ class IdStore:
         if len(new):
             fresh = [words[i] for i in new.tolist()]
             flat, lengths = self.encode(fresh)
+            if len(flat) and int(flat.max()) > np.iinfo(self.dtype).max:
+                raise ValueError(f"ids of {self.dtype.__name__} only, not {int(flat.max())}")
+            self.held += sum(map(len, fresh))
             base = len(self.known)
             found[new] = np.arange(base, base + len(new))
             self.known.update(zip(fresh, range(base, base + len(new)), strict=True))

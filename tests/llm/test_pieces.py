@@ -40,6 +40,43 @@ def test_likely_merges(texts):
     check(texts)
 
 
+def test_long_words():
+    rng = random.Random(7)
+    for alphabet in ("ab", "thearndio", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "日本語テストの", "=-_"):
+        for n in (256, 257, 300, 3000):
+            check(["".join(rng.choice(alphabet) for _ in range(n)), "a " + "".join(rng.choice(alphabet) for _ in range(n)) + " b"])
+    check(["return" * 200 + "▁▁" * 300, " " * 1000 + "x" * 700, "the" * 4000])
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))
+    began = time.process_time()
+    check([text])
+    assert time.process_time() - began < 8
+
+
+def test_vocabularies_beyond_the_stored_width_are_refused():
+    import pytest
+
+    from quern.llm.words import IdStore
+
+    store = IdStore(lambda words: (np.full(len(words), 70_000), np.ones(len(words), np.int64)))
+    with pytest.raises(ValueError):
+        store.places(["a"])
+
+
+def test_store_is_emptied_by_characters():
+    from quern.llm.words import IdStore
+
+    store = IdStore(lambda words: (np.arange(len(words)), np.ones(len(words), np.int64)), characters=100)
+    for k in range(50):
+        store.places([f"{k:0100}"])
+    assert len(store.known) <= 2
+
+
 def test_decode_any_ids():
     rng = random.Random(6)
     for _ in range(400):
