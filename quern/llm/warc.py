@@ -1,9 +1,9 @@
 """WARC archives in seekable Zstandard bundles (operator 1).
 
 A bundle is a run of independent Zstandard frames, each holding whole WARC records, followed by a skippable frame with
-the seek table. The archive is a table with a row per frame (its bytes, where it starts in the bundle, and the records
-in it with their frame-relative offsets), so it can lie in any store that Spark writes, and concatenating a bundle's
-rows in order gives the .warc.zst file.
+the seek table. The archive is a table with a row per bundle, whose data is a complete seekable .warc.zst file, and an
+index that maps record identifiers to frames and frame-relative offsets; so it can lie in any store that Spark writes.
+Readers find frames by the seek table and unpack only those that hold what is asked for.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, trim, written
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 FRAME_BYTES = 1 << 20
-BUNDLE_BYTES = 64 << 20
+BUNDLE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -35,15 +35,15 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(entries) + len(footer)) + entries + footer
 
 
-def read_seek_table(bundle: bytes) -> list[tuple[int, int]]:
-    """(start in the bundle, start in the plain stream) of each frame, read from the end of a bundle."""
+def read_seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
+    """(start in the bundle, compressed bytes, plain bytes) of each frame, read from the end of a bundle."""
     count, _, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != SEEKABLE_MAGIC:
         raise ValueError("no seek table")
-    at, plain, found = 0, 0, []
+    at, found = 0, []
     for c, d in struct.iter_unpack("<II", bundle[-9 - 8 * count : -9]):
-        found.append((at, plain))
-        at, plain = at + c, plain + d
+        found.append((at, c, d))
+        at += c
     return found
 
 
@@ -77,50 +77,52 @@ def parse_record(plain: bytes, at: int, length: int) -> tuple[dict[str, str], by
     return head, plain[end + 4 : end + 4 + size]
 
 
-ARCHIVE = "bundle string, frame int, start long, plain_bytes long, record_ids array<long>, offsets array<long>, lengths array<long>, data binary"
-ARROW = pa.schema([("bundle", pa.string()), ("frame", pa.int32()), ("start", pa.int64()), ("plain_bytes", pa.int64()), ("record_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+ARCHIVE = "bundle string, record_ids array<long>, frames array<int>, offsets array<long>, lengths array<long>, data binary"
+ARROW = pa.schema([("bundle", pa.string()), ("record_ids", pa.list_(pa.int64())), ("frames", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+
+
+class BundleWriter:
+    """Frames of about frame_bytes of records, and a seek table behind them."""
+
+    def __init__(self, frame_bytes: int, level: int):
+        self.frame_bytes, self.pack = frame_bytes, zstandard.ZstdCompressor(level=level)
+        self.data, self.sizes, self.index = bytearray(), [], ([], [], [], [])
+        self.frame, self.at = [], 0
+
+    def add(self, page_id, data: bytes) -> None:
+        for column, x in zip(self.index, (page_id, len(self.sizes), self.at, len(data)), strict=True):
+            column.append(x)
+        self.frame.append(data)
+        self.at += len(data)
+        if self.at >= self.frame_bytes:
+            self._close_frame()
+
+    def _close_frame(self) -> None:
+        packed = self.pack.compress(b"".join(self.frame))
+        self.data += packed
+        self.sizes.append((len(packed), self.at))
+        self.frame, self.at = [], 0
+
+    def row(self, name: str) -> pa.RecordBatch:
+        if self.frame:
+            self._close_frame()
+        self.data += seek_table(self.sizes)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, *self.index, bytes(self.data)), ARROW.types, strict=True)], schema=ARROW)
 
 
 def _bundles(frame_bytes: int, bundle_bytes: int, level: int):
     def run(batches):
-        part, number = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=level)
-        frame, ids, offsets, lengths, at = [], [], [], [], 0
-        sizes, start = [], 0
-
-        def row(k, where, n, i, o, s, data):
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((f"{part:06d}-{number:06d}", k, where, n, i, o, s, data), ARROW.types, strict=True)], schema=ARROW)
-
-        def close_frame():
-            nonlocal frame, ids, offsets, lengths, at, start
-            data = pack.compress(b"".join(frame))
-            out = row(len(sizes), start, at, ids, offsets, lengths, data)
-            sizes.append((len(data), at))
-            frame, ids, offsets, lengths, at, start = [], [], [], [], 0, start + len(data)
-            return out
-
-        def close_bundle():
-            nonlocal sizes, start, number
-            out = row(-1, start, 0, [], [], [], seek_table(sizes))
-            sizes, start, number = [], 0, number + 1
-            return out
-
+        part, number, bundle = TaskContext.get().partitionId(), 0, BundleWriter(frame_bytes, level)
         for batch in batches:
-            for page_id, url, html, n, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = record(page_id, url, html, n, digest, refers)
-                frame.append(data)
-                ids.append(page_id)
-                offsets.append(at)
-                lengths.append(len(data))
-                at += len(data)
-                if at >= frame_bytes:
-                    yield close_frame()
-                    if start >= bundle_bytes:
-                        yield close_bundle()
-        if frame:
-            yield close_frame()
-        if sizes:
-            yield close_bundle()
+            for small in small_batches(batch, "html"):
+                for page_id, url, html, n, digest, refers in zip(*(c.to_pylist() for c in small.columns), strict=True):
+                    bundle.add(page_id, record(page_id, url, html, n, digest, refers))
+                    if len(bundle.data) >= bundle_bytes:
+                        yield bundle.row(f"{part:06d}-{number:06d}")
+                        number, bundle = number + 1, BundleWriter(frame_bytes, level)
+        if bundle.index[0]:
+            yield bundle.row(f"{part:06d}-{number:06d}")
+        trim()
 
     return run
 
@@ -151,34 +153,44 @@ def _name(urn: str) -> int | None:
     return None if text == "null" else int(text)
 
 
-def _records(with_payload: bool):
+def _records(with_payload: bool, ids: set[int] | None):
+    def rows_of(plain, places):
+        for at, length in places:
+            head, block = parse_record(plain, at, length)
+            kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
+            n = int(head["X-Payload-Length"])
+            if kind == "response":
+                n = len(block)
+                if hashlib.sha1(block).hexdigest() != digest:
+                    raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
+            refers = _name(head["WARC-Refers-To"]) if kind == "revisit" else None
+            yield _name(head["WARC-Record-ID"]), head["WARC-Target-URI"], n, digest, kind, refers, block if with_payload else None
+
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for plain_bytes, offsets, lengths, data in zip(*(batch.column(k).to_pylist() for k in ("plain_bytes", "offsets", "lengths", "data")), strict=True):
-                plain, rows = unpack.decompress(data, max_output_size=plain_bytes), []
-                for at, length in zip(offsets, lengths, strict=True):
-                    head, block = parse_record(plain, at, length)
-                    kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    n = int(head["X-Payload-Length"])
-                    if kind == "response":
-                        n = len(block)
-                        if hashlib.sha1(block).hexdigest() != digest:
-                            raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
-                    refers = _name(head["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((_name(head["WARC-Record-ID"]), head["WARC-Target-URI"], n, digest, kind, refers, block if with_payload else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
+            for k in range(batch.num_rows):
+                record_ids, frames, offsets, lengths, data = (batch.column(c)[k].as_py() for c in ("record_ids", "frames", "offsets", "lengths", "data"))
+                table, places = read_seek_table(data), {}
+                for i, frame, at, length in zip(record_ids, frames, offsets, lengths, strict=True):
+                    if ids is None or i in ids:
+                        places.setdefault(frame, []).append((at, length))
+                for frame, wanted in places.items():
+                    start, size, plain_bytes = table[frame]
+                    plain = unpack.decompress(data[start : start + size], max_output_size=plain_bytes)
+                    found = list(rows_of(plain, wanted))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), OUT.types, strict=True)], schema=OUT)
+        trim()
 
     return run
 
 
 def read_archive(archive: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of an archive table, frame by frame; payload digests of responses are verified."""
-    frames = archive.where("frame >= 0").select("plain_bytes", "offsets", "lengths", "data")
-    return frames.mapInArrow(_records(with_payload), RECORDS)
+    """Every record of an archive table, frame by frame as the seek tables say; payload digests of responses are verified."""
+    return archive.select("record_ids", "frames", "offsets", "lengths", "data").mapInArrow(_records(with_payload, None), RECORDS)
 
 
 def read_records(archive: DataFrame, ids: list[int]) -> DataFrame:
-    """Single records by identifier: only frames that the index names are unpacked."""
-    hit = archive.where("frame >= 0").where(F.arrays_overlap("record_ids", F.array(*[F.lit(int(x)).cast("long") for x in ids])))
-    return read_archive(hit).where(F.col("page_id").isin([int(x) for x in ids]))
+    """Single records by identifier: only bundles that the index names are read and only their frames unpacked."""
+    hit = archive.where(F.arrays_overlap("record_ids", F.array(*[F.lit(int(x)).cast("long") for x in ids])))
+    return hit.select("record_ids", "frames", "offsets", "lengths", "data").mapInArrow(_records(True, {int(x) for x in ids}), RECORDS)
