@@ -1,9 +1,10 @@
 """Exact dedup by Patricia tries (operator 7).
 
 Every input partition first puts its texts in a compressed radix trie, so a text goes on once per partition however
-many copies it has. The distinct texts are then dealt by length and content hash, and the trie of each such
-partition decides on full byte strings which are equal. Terminal nodes hold the copies' ids; subtrees are spilled to
-a task's own temporary files when a trie outgrows its budget, and are finished one after another.
+many copies it has (once per 4096 copies, as more are not held). The distinct texts are then dealt by length and content
+hash, and the trie of each such partition decides on full byte strings which are equal. Terminal nodes hold the copies'
+ids, which count towards a trie's budget; subtrees are spilled to a task's own temporary files when a trie outgrows it,
+and are finished one after another.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import cleaned, small_batches, trim, written
 
 
 class Node:
@@ -42,17 +43,18 @@ def common_prefix(a: bytes, b: bytes) -> int:
 class PatriciaTrie:
     """Compressed radix trie from byte strings to lists of what was put there."""
 
-    NODE_BYTES = 300
+    NODE_BYTES, HELD_BYTES = 300, 150
 
     def __init__(self, budget: int = 192 << 20):
         self.root, self.budget, self.bytes = Node(b""), budget, 0
 
-    def put(self, key: bytes, what) -> None:
+    def put(self, key: bytes, what) -> list | None:
+        """The list that it went to; None if that is spilled, or may just have been."""
         node, at = self.root, 0
         while True:
             if node.spill is not None:
                 pickle.dump((key[at:], [what]), node.spill)
-                return
+                return None
             if at == len(key):
                 break
             kid = node.kids.get(key[at])
@@ -65,8 +67,16 @@ class PatriciaTrie:
         if node.held is None:
             node.held = []
         node.held.append(what)
+        self.bytes += self.HELD_BYTES
         if self.bytes > self.budget:
             self._spill()
+            return None
+        return node.held
+
+    def empty(self, held: list) -> None:
+        """Forgets what a list that put() returned holds."""
+        self.bytes -= self.HELD_BYTES * len(held)
+        held.clear()
 
     def _split(self, parent: Node, kid: Node, at: int) -> Node:
         middle = Node(kid.label[:at])
@@ -80,7 +90,7 @@ class PatriciaTrie:
         total, todo = 0, [node]
         while todo:
             x = todo.pop()
-            total += len(x.label) + self.NODE_BYTES
+            total += len(x.label) + self.NODE_BYTES + self.HELD_BYTES * len(x.held or ())
             todo += x.kids.values()
         return total
 
@@ -90,7 +100,6 @@ class PatriciaTrie:
         while len(alive := [k for k in fork.kids.values() if k.spill is None]) == 1 and alive[0].kids:
             fork = alive[0]
         if not alive:
-            self.budget = float("inf")
             return
         heaviest = max(alive, key=self._weight)
         self.bytes -= self._weight(heaviest)
@@ -103,7 +112,7 @@ class PatriciaTrie:
         todo = [(node, before)]
         while todo:
             x, prefix = todo.pop()
-            if x.held is not None:
+            if x.held:
                 yield prefix, x.held
             todo += [(k, prefix + k.label) for k in x.kids.values()]
             if x.spill is not None:
@@ -156,23 +165,28 @@ def _owner(held: list, largest: bool):
     return best
 
 
-def _local(largest: bool, budget: int):
+def _local(largest: bool, budget: int, most_held: int):
     def run(batches):
         trie = PatriciaTrie(budget)
         base, seen = TaskContext.get().partitionId() << 36, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                trie.put(text or b"", (doc_id,))
 
-        def rows():
+        def copies(text, held):
+            """Equal texts as rows, of which the first owner brings the text."""
             nonlocal seen
-            for text, held in trie.items():
-                key, seen = base + seen, seen + 1
-                sha, best = hashlib.sha256(text).hexdigest(), _owner(held, largest)
-                for x in held:
-                    yield (x[0], key, x is best, len(held), len(text), sha, text if x is best else None)
+            key, seen = base + seen, seen + 1
+            sha, best = hashlib.sha256(text).hexdigest(), _owner(held, largest)
+            for x in held:
+                yield (x[0], key, x is best, len(held), len(text), sha, text if x is best else None)
 
-        yield from _batches(rows(), LOCAL)
+        for batch in batches:
+            for part in small_batches(batch, "text"):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    held = trie.put(text or b"", (doc_id,))
+                    if held is not None and len(held) >= most_held:
+                        yield from _batches(copies(text or b"", held), LOCAL)
+                        trie.empty(held)
+        yield from _batches((row for text, held in trie.items() for row in copies(text, held)), LOCAL)
+        trim()
 
     return run
 
@@ -186,6 +200,7 @@ def _owners(largest: bool, budget: int):
         for batch in batches:
             for doc_id, key, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 trie.put(text, (doc_id, key, n))
+            del batch
 
         def rows():
             for _, held in trie.items():
@@ -194,25 +209,28 @@ def _owners(largest: bool, budget: int):
                     yield (x[1], best[0], total, best[1])
 
         yield from _batches(rows(), OWNERS)
+        trim()
 
     return run
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", trie_bytes: int = 192 << 20, part_bytes: int = 32 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", trie_bytes: int = 192 << 20, part_bytes: int = 32 << 20, most_held: int = 4096) -> DataFrame:
     """Groups of equal texts: a row per input row with doc_id, keep_id, group_size, kept, text_sha256.
 
     keep: "smallest" or "largest" id of a group stays. A null text counts as empty, so nulls and empty texts are one
     group. A null id loses against any other; of rows that repeat the kept id one stays; in a group with null ids
     only, keep_id is null and one row stays. An empty table gives no rows. Texts are dealt to partitions of about
-    part_bytes; a trie that outgrows trie_bytes spills. Other columns of docs are not read.
+    part_bytes; a trie that outgrows trie_bytes spills, and most_held copies of a text go on before more are taken. Other
+    columns of docs are not read.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep!r}")
     largest = keep == "largest"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    local = written(rows.mapInArrow(_local(largest, trie_bytes), "doc_id long, copy_key long, is_first boolean, n long, n_bytes long, text_sha256 string, text binary"))
+    local = written(rows.mapInArrow(_local(largest, trie_bytes, most_held), "doc_id long, copy_key long, is_first boolean, n long, n_bytes long, text_sha256 string, text binary"))
     distinct = local.where("text is not null")
-    size = distinct.agg(F.sum("n_bytes")).first()[0] or 0
+    with cleaned(docs.sparkSession):
+        size = distinct.agg(F.sum("n_bytes")).first()[0] or 0
     parts = int(max(1, min(1 << 17, size // part_bytes)))
     dealt = distinct.repartition(parts, F.col("n_bytes"), F.substring("text_sha256", 1, 16)).select("doc_id", "copy_key", "n", "text")
     owners = dealt.mapInArrow(_owners(largest, trie_bytes), "copy_key long, keep_id long, group_size long, owner_key long")

@@ -41,6 +41,23 @@ def test_against_brute_force(spark, keep):
     assert len(kept) == len(set(kept)) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_ids_count_towards_the_budget():
+    trie = exact_dedup.PatriciaTrie(100_000)
+    for n in range(5000):
+        trie.put(b"same text" if n % 2 else b"other", n)
+        trie.put(f"{n % 7} text".encode(), n)
+        assert trie.bytes <= trie.budget + 1000
+    assert sum(len(held) for _, held in trie.items()) == 10_000
+
+
+def test_many_copies_are_passed_on_before_more_are_taken(spark):
+    rows = [(i, "" if i % 3 else f"text {i % 5}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few = sorted(map(tuple, exact_dedup.exact_groups(df, keep="largest", most_held=16).collect()))
+    assert few == sorted(map(tuple, exact_dedup.exact_groups(df, keep="largest").collect()))
+    assert sum(r[3] for r in few) == 6 and {r[2] for r in few if rows[r[0]][1] == ""} == {1333}
+
+
 def test_empty_and_wrong_setting(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(df).count() == 0
