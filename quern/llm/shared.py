@@ -134,6 +134,18 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def plain(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs as c0, c1, ..., doc_id (long) and text (string), so that no name can clash; the names of c0, c1, ..."""
+    others = [c for c in docs.columns if c != text_col]
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), others
+
+
+def named(rows: DataFrame, others: list[str], like: DataFrame, text_col: str, *more: str) -> DataFrame:
+    """The columns of `like` again, from rows of plain(), and further ones."""
+    at = {c: f"c{k}" for k, c in enumerate(others)}
+    return rows.select(*[F.col("text" if c == text_col else at[c]).alias(c) for c in like.columns], *more)
+
+
 def small_batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Slices of an Arrow batch with about `limit` bytes of `column` each, a row at least."""
     sizes = np.cumsum(byte_lengths(batch.column(column)))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, small_batches, written
+from .shared import components, named, plain, small_batches, trim, written
 
 SEED = 42
 RADIUS = 3
@@ -71,6 +71,7 @@ def _prints(width: int):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 prints = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], schema=PRINTS)
+        trim()
 
     return run
 
@@ -146,42 +147,44 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _shards(radius: int, slack: int = 0):
     """Links within each run of equal shard keys of sorted input."""
 
+    def links_of(keys, prints):
+        """Links of whole shards."""
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        pairs = starts[sizes == 2]
+        near = np.bitwise_count((prints[pairs] ^ prints[pairs + 1]).view(np.uint64)) <= radius
+        a, b = [prints[pairs[near]]], [prints[pairs[near] + 1]]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            links = shard_links(prints[s : s + n].view(np.uint64).tolist(), radius, slack if n > LARGE_SHARD else 0)
+            if links:
+                ends = np.array(links, np.uint64).view(np.int64)
+                a.append(ends[:, 0])
+                b.append(ends[:, 1])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=LINKS)
+
     def run(batches):
-        key_left, print_left = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in _with_end(batches):
-            if batch is None:
-                keys, prints, edge = key_left, print_left, len(key_left)
-            else:
-                keys = np.concatenate([key_left, batch.column(0).to_numpy()])
-                prints = np.concatenate([print_left, batch.column(1).to_numpy()])
-                edge = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            key_left, print_left = keys[edge:], prints[edge:]
-            keys, prints = keys[:edge], prints[:edge]
+        left = []  # batches of a shard whose end has not come
+        for batch in batches:
+            keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(keys):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            sizes = np.diff(np.append(starts, len(keys)))
-            pairs = starts[sizes == 2]
-            near = np.bitwise_count((prints[pairs] ^ prints[pairs + 1]).view(np.uint64)) <= radius
-            a, b = [prints[pairs[near]]], [prints[pairs[near] + 1]]
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                links = shard_links(prints[s : s + n].view(np.uint64).tolist(), radius, slack if n > LARGE_SHARD else 0)
-                if links:
-                    ends = np.array(links, np.uint64).view(np.int64)
-                    a.append(ends[:, 0])
-                    b.append(ends[:, 1])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=LINKS)
+            edge = int(np.searchsorted(keys, keys[-1]))
+            if left and (edge or keys[0] != left[-1][0][-1]):
+                left.append((keys[:edge], prints[:edge]))
+                yield from links_of(*(np.concatenate(x) for x in zip(*left, strict=True)))
+                left = []
+            elif edge:
+                yield from links_of(keys[:edge], prints[:edge])
+            left.append((keys[edge:], prints[edge:]))
+        if left:
+            yield from links_of(*(np.concatenate(x) for x in zip(*left, strict=True)))
+        trim()
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def _shard_keys(value, radius: int):
     """Array of shard keys: a block of the 64 bits, then a block of the bits that are left."""
     keys, blocks = [], radius + 1
@@ -215,32 +218,34 @@ def near_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
 
 
-def with_prints(docs: DataFrame, text_col: str = "text", width: int = 3, name: str = "print") -> DataFrame:
-    """docs with their fingerprints as a further column; other columns pass through."""
+def with_prints(rows: DataFrame, width: int = 3) -> DataFrame:
+    """Rows of plain() with their fingerprints."""
 
     def run(batches):
         for batch in batches:
-            for part in small_batches(batch, text_col):
-                texts = part.column(text_col).cast(pa.binary()).to_pylist()
+            for part in small_batches(batch, "text"):
+                texts = part.column("text").cast(pa.binary()).to_pylist()
                 prints = np.array([fingerprint(t or b"", width) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*part.schema.names, "print"])
+        trim()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("print", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id, nulls last.
 
-    Of rows that repeat that id one stays. Other columns pass through; print and row_key must not be among them.
+    Of rows that repeat that id one stays. Other columns pass through whatever their names.
     """
+    rows, others = plain(docs, id_col, text_col)
     # keys of rows are fixed by being written down
-    marked = written(with_prints(docs, text_col, width).withColumn("row_key", F.monotonically_increasing_id()))
-    slim = marked.select(F.col(id_col).cast("long").alias("doc_id"), "print", "row_key")
+    marked = written(with_prints(rows, width).withColumn("row_key", F.monotonically_increasing_id()))
+    slim = marked.select("doc_id", "print", "row_key")
     roots = near_roots(slim.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
     # the first row of each print, then of each group of prints
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     best = slim.groupBy("print").agg(first.alias("first")).join(roots.select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first"))
-    return marked.join(best.select("first.row_key"), "row_key", "left_semi").drop("print", "row_key")
+    return named(marked.join(best.select("first.row_key"), "row_key", "left_semi"), others, docs, text_col)
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -264,19 +269,20 @@ def _set(text: bytes | None, width: int) -> np.ndarray:
     return found if len(found) else np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
 
 
-def _with_sketches(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """docs with the digest of their set of shingles, its fingerprint and its bands."""
+def _with_sketches(docs: DataFrame, width: int) -> DataFrame:
+    """Rows of plain() with the digest of their set of shingles, its fingerprint and its bands."""
 
     def run(batches):
         a, b = _permutations()
         for batch in batches:
-            for part in small_batches(batch, text_col):
-                sets = [_set(t, width) for t in part.column(text_col).cast(pa.binary()).to_pylist()]
+            for part in small_batches(batch, "text"):
+                sets = [_set(t, width) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 digests = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
                 keys = np.concatenate([bands(s, a, b) for s in sets]).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests), pa.array(prints), keys], names=[*part.schema.names, "set", "print", "bands"])
+        trim()
 
     more = [T.StructField("set", T.LongType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
@@ -335,6 +341,7 @@ def _confirmed(width: int, least: float):
                     sets.append(_set(text, width))
         if sets:
             yield groups(digests, sets)
+        trim()
 
     return run
 
@@ -345,20 +352,21 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Similarity is that of the sets of shingles of `width` words. Pairs are found by fingerprints within 24 bits in one of
     32 MinHash bands, which suits a similarity of 0.8 or more, and confirmed by their shingles; linked fingerprints meet
     in one task for that. Texts without words count as equal. Of rows that repeat the smallest id one stays. Other columns
-    pass through; set, print, bands and row_key must not be among them.
+    pass through whatever their names.
     """
-    marked = written(_with_sketches(docs, text_col, width).withColumn("row_key", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col(id_col).cast("long").isNull().alias("none"), F.col(id_col).cast("long").alias("doc_id"), "row_key"))
+    rows, others = plain(docs, id_col, text_col)
+    marked = written(_with_sketches(rows, width).withColumn("row_key", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     distinct = written(marked.groupBy("set").agg(first.alias("first"), F.min("print").alias("print")))
     shard = marked.select(F.posexplode("bands").alias("band", "shard"), "print").select("shard", "print").distinct()
     dealt = shard.repartition("shard").sortWithinPartitions("shard", "print")
     roots = components(dealt.mapInArrow(_shards(WIDE_RADIUS, SLACK), "a long, b long"))
     placed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("set", "first.row_key", F.coalesce("root", "print").alias("root"))
     several = placed.join(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "root")
-    texts = several.select("root", "set", "row_key").join(marked.select("row_key", F.col(text_col).cast("string").alias("text")), "row_key").select("root", "set", "text")
+    texts = several.select("root", "set", "row_key").join(marked.select("row_key", "text"), "row_key").select("root", "set", "text")
     groups = texts.repartition("root").sortWithinPartitions("root", "set").mapInArrow(_confirmed(width, least), "set long, group long")
     best = distinct.join(groups, "set", "left").groupBy(F.coalesce("group", "set").alias("group")).agg(F.min("first").alias("first"))
-    return marked.join(best.select("first.row_key"), "row_key", "left_semi").drop("set", "print", "bands", "row_key")
+    return named(marked.join(best.select("first.row_key"), "row_key", "left_semi"), others, docs, text_col)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:

@@ -7,9 +7,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from quern.llm.shared import written
+from quern.llm import exact_dedup
+from quern.llm.shared import delete, written
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_simhash import brute_print
+from tests.llm.test_simhash import brute_similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rest string, print int, bucket int, n_lines int, tag int, score double"
 
@@ -48,16 +49,7 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
     near = written(cp.near_dedup(spark, lined, ""))
-    rows = [(r.doc_id, brute_print(r.text)) for r in lined.collect()]
-    root = {i: i for i, _ in rows}
-    moved = True
-    while moved:
-        moved = False
-        for i, p in rows:
-            for j, q in rows:
-                if (p ^ q).bit_count() <= 3 and root[j] < root[i]:
-                    root[i], moved = root[j], True
-    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == sorted(set(root.values()))
+    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == brute_similar([(r.doc_id, r.text) for r in lined.collect()])
 
     cut = written(cp.drop_repeats(spark, near, ""))
     first, want = {}, []
@@ -103,3 +95,30 @@ def test_near_stage_finds_pairs_of_similarity_0_8(spark):
     rows.append((9, " ".join(f"y{k}" if k % 12 == 0 else w for k, w in enumerate(base)), "en", "s", 1, "r", 1, 2, 3, 4, 0.5))
     kept = cp.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
+
+
+def test_stages_delete_their_own_tables_only(spark, tmp_path):
+    docs = written(spark.createDataFrame(corpus()[:30], SCHEMA))
+    other = exact_dedup.exact_groups(docs)
+    stage = cp.drop_lines(spark, docs, "")
+    mine = list(cp.SPENT)
+    assert mine and stage.count() == 30
+    near = cp.near_dedup(spark, docs, "")
+    assert not set(mine) & set(cp.SPENT) and near.count() <= 30
+    assert other.count() == 30
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() > 0 and not cp.SPENT
+    assert other.count() == 30
+
+
+def test_tables_are_owned_by_the_innermost_block(spark):
+    from quern.llm.shared import owned
+
+    with owned() as outer:
+        a = written(spark.range(3))
+        with owned() as inner:
+            b = written(spark.range(4))
+    written(spark.range(5))
+    assert outer == [a._quern_path] and inner == [b._quern_path]
+    delete(spark, inner[0])
+    assert a.count() == 3
