@@ -529,7 +529,12 @@ def beside(docs: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
     """Rows of addressed() and of (bucket, blob) by bucket, a bucket's blobs before its documents."""
     bucket = F.pmod(F.shiftrightunsigned("tag", 1).bitwiseXOR(F.col("doc")), F.lit(buckets).cast("long"))
     both = docs.withColumns({"bucket": bucket, "blob": F.lit(None).cast("binary")}).unionByName(rows.select("bucket", "blob"), allowMissingColumns=True)
-    return both.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("bucket", F.col("blob").isNull())
+    return dealt(both, buckets).sortWithinPartitions("bucket", F.col("blob").isNull())
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by bucket, as many buckets to every partition; by a hash of their numbers some would get several more."""
+    return rows.repartitionById(min(buckets, MOST_PARTS), F.col("bucket").cast("int"))
 
 
 def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
@@ -542,10 +547,9 @@ def marks(docs: DataFrame, hot_seed: int = HOT_SEED, bucket_bytes: int = 12 << 2
     with cleaned(docs.sparkSession):
         total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, total // bucket_bytes)) | 1
-    dealt = lambda rows: rows.repartition(min(buckets, MOST_PARTS), "bucket").sortWithinPartitions("kind", "bucket")
-    settled = written(dealt(slim.mapInArrow(_seeds(buckets), ROWS)).mapInArrow(_settle(buckets, hot_seed), ROWS))
+    settled = written(dealt(slim.mapInArrow(_seeds(buckets), ROWS), buckets).sortWithinPartitions("kind", "bucket").mapInArrow(_settle(buckets, hot_seed), ROWS))
     texts = beside(slim, settled.where("kind = 'ask'"), buckets).mapInArrow(_texts_of(buckets), ROWS)
-    compared = written(dealt(texts).mapInArrow(_compare(buckets), ROWS))
+    compared = written(dealt(texts, buckets).sortWithinPartitions("kind", "bucket").mapInArrow(_compare(buckets), ROWS))
     return settled.where("kind = 'mark'").unionByName(compared), buckets
 
 
