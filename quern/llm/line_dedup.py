@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cleaned, discard, small_batches, trim, written
+from .shared import by_key, cleaned, discard, small_batches, trim, written
 
 MASK = "<*>"
 VARIABLE = re.compile(r"[0-9@]|://")
@@ -206,7 +206,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     wanted = written(counts.join(leaves.select("leaf"), "leaf").select("leaf", "line", "n"))
     shared = spark.sparkContext.broadcast(Leaves(wanted, leaf_bits))
     texts = docs.mapInArrow(_texts(min_tokens, shared), "line long, tokens string").groupBy("line").agg(F.min("tokens").alias("tokens"))
-    ordered = texts.join(wanted, "line").repartition("leaf").sortWithinPartitions("leaf", F.col("n").desc(), "tokens").select("leaf", "line", "tokens")
+    with cleaned(spark):
+        rows = wanted.count()
+    ordered = by_key(texts.join(wanted, "line"), rows, "leaf").sortWithinPartitions("leaf", F.col("n").desc(), "tokens").select("leaf", "line", "tokens")
     templates = written(ordered.mapInArrow(_templates(similarity), "line long, template long"))
     of_line = counts.join(templates, "line", "left").select("line", "n", "first", F.coalesce("template", "line").alias("template"))
     # n counts rows, so it is never below the number of documents: templates below min_docs rows need not be counted

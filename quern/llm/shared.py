@@ -173,6 +173,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def by_key(df: DataFrame, rows: int, *key: str, per: int = 2_000_000) -> DataFrame:
+    """df dealt by a key to the session's number of partitions, or to more if they would get over `per` rows each."""
+    least, parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per)
+    return df.repartition(min(parts, 1 << 17), *key) if parts > least else df.repartition(*key)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b), both long: rows (node, root), root the smallest node reachable.
 

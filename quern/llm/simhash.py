@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, named, plain, small_batches, trim, written
+from .shared import by_key, cleaned, components, named, plain, small_batches, trim, written
 
 SEED = 42
 RADIUS = 3
@@ -205,14 +205,19 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     component_id is the smallest doc_id among documents whose prints are linked by steps of at most `radius` bits;
     null only where no document of the component has an id.
     """
-    joined = near_roots(prints.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
+    joined = near_roots(prints.groupBy("print").agg(F.min("doc_id").alias("first")), radius, _rows(prints))
     firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     return joined.select("print", "root").join(firsts, "root").select("print", "component_id")
 
 
-def near_roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(print, first) with the smallest print of each one's component as root."""
-    dealt = distinct.select(F.explode(_shard_keys(F.col("print"), radius)).alias("shard"), "print").repartition("shard").sortWithinPartitions("shard", "print")
+def _rows(table: DataFrame) -> int:
+    with cleaned(table.sparkSession):
+        return table.count()
+
+
+def near_roots(distinct: DataFrame, radius: int = RADIUS, rows: int = 0) -> DataFrame:
+    """(print, first) with the smallest print of each one's component as root; rows: about how many there are."""
+    dealt = by_key(distinct.select(F.explode(_shard_keys(F.col("print"), radius)).alias("shard"), "print"), rows * (radius + 1) ** 2, "shard").sortWithinPartitions("shard", "print")
     links = dealt.mapInArrow(_shards(radius), "a long, b long")
     roots = components(links)
     return distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
@@ -241,7 +246,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # keys of rows are fixed by being written down
     marked = written(with_prints(rows, width).withColumn("row_key", F.monotonically_increasing_id()))
     slim = marked.select("doc_id", "print", "row_key")
-    roots = near_roots(slim.groupBy("print").agg(F.min("doc_id").alias("first")), radius)
+    roots = near_roots(slim.groupBy("print").agg(F.min("doc_id").alias("first")), radius, _rows(marked))
     # the first row of each print, then of each group of prints
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     best = slim.groupBy("print").agg(first.alias("first")).join(roots.select("print", "root"), "print").groupBy("root").agg(F.min("first").alias("first"))
@@ -359,7 +364,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     distinct = written(marked.groupBy("set").agg(first.alias("first"), F.min("print").alias("print")))
     shard = marked.select(F.posexplode("bands").alias("band", "shard"), "print").select("shard", "print").distinct()
-    dealt = shard.repartition("shard").sortWithinPartitions("shard", "print")
+    dealt = by_key(shard, _rows(marked) * BANDS, "shard").sortWithinPartitions("shard", "print")
     roots = components(dealt.mapInArrow(_shards(WIDE_RADIUS, SLACK), "a long, b long"))
     placed = distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").select("set", "first.row_key", F.coalesce("root", "print").alias("root"))
     several = placed.join(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "root")

@@ -281,11 +281,11 @@ def met(candidates: DataFrame, queries: DataFrame, rows: int, columns: int) -> D
     """Blocks by cell, the queries first; each candidate in a row of the grid, each query in a column."""
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     keep = ["b", "dim", "wide", "keys", "ids", "nulls", "asked", "data"]
-    asked = queries.select(*keep, "cut", F.pmod(F.xxhash64("b"), F.lit(columns)).alias("column"), every(rows).alias("row"))
+    asked = queries.select(*keep, "cut", F.pmod(F.shiftright("b", 24), F.lit(columns)).alias("column"), every(rows).alias("row"))
     given = candidates.select(*keep, F.lit(None).cast("binary").alias("cut"), F.pmod("b", F.lit(rows)).alias("row"), every(columns).alias("column"))
     both = asked.withColumn("is_query", F.lit(True)).unionByName(given.withColumn("is_query", F.lit(False)))
     cells = both.select(*keep, "cut", "is_query", (F.col("row") * F.lit(columns) + F.col("column")).alias("cell"))
-    return cells.repartition(min(rows * columns, 1 << 17), "cell").sortWithinPartitions("cell", F.col("is_query").desc(), "b")
+    return cells.repartitionById(min(rows * columns, 1 << 17), F.pmod("cell", F.lit(1 << 17)).cast("int")).sortWithinPartitions("cell", F.col("is_query").desc(), "b")
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
@@ -310,7 +310,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_co
     rows_, columns = grid(blocks, places)
     heads = candidates.mapInArrow(_heads, BLOCK)
     scores = met(heads, queries.withColumn("cut", F.lit(None).cast("binary")), rows_, columns).mapInArrow(_phase1(k), "b long, scores binary")
-    cut = written(scores.repartition(places, "b").sortWithinPartitions("b").mapInArrow(_cutoffs(k), "b long, cut binary"))
+    cut = written(scores.repartitionById(places, F.shiftright("b", 24).cast("int")).sortWithinPartitions("b").mapInArrow(_cutoffs(k), "b long, cut binary"))
     found = met(candidates, queries.join(cut, "b"), rows_, columns).mapInArrow(_phase23(k), "query_key long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_key").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
