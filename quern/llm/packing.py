@@ -1,6 +1,7 @@
 """Packing documents into token sequences by first-fit decreasing (operator 4).
 
-Documents are dealt to randomised groups of bounded size. A group cuts whole sequences off long documents, then puts
+Documents are dealt evenly to tasks, equal ones too, and taken there in random order in groups of bounded size, by
+documents and by tokens. A group cuts whole sequences off long documents, then puts
 the rests, longest first, each into the first bin with room for it; a tournament tree over the bins' free room finds
 that bin in logarithmic time. The emptiest bins are then dissolved into the gaps of the others.
 """
@@ -13,13 +14,15 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import cleaned, small_batches, trim
 from .words import IdStore, ascii_words, factorise
 
 LENGTH = 2048
+GROUP_DOCS, GROUP_TOKENS = 2048, 4 << 20
 
 
 class TournamentTree:
@@ -143,6 +146,9 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa
 
 
 def _tokenise(path: str, end_id: int):
+    if not 0 <= end_id < 1 << 16:
+        raise ValueError(f"end_id: {end_id}")
+
     def run(batches):
         store = _store(path)
         for batch in batches:
@@ -152,6 +158,7 @@ def _tokenise(path: str, end_id: int):
                 for a, b in zip(edges, edges[1:], strict=False):
                     rows.append(np.append(flat[a:b], np.uint16(end_id)).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1), pa.array(rows, pa.binary())], schema=TOKENS)
+        trim()
 
     return run
 
@@ -159,38 +166,56 @@ def _tokenise(path: str, end_id: int):
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def _pack(capacity: int, with_ids: bool):
-    def run(table: pa.Table) -> pa.Table:
-        order = pc.sort_indices(table, [("doc_id", "ascending"), ("n_tokens", "descending"), ("ids", "ascending")])
-        table = table.take(order)
-        group = table.column("g")[0].as_py()
-        docs, lengths, ids = (table.column(k).to_pylist() for k in ("doc_id", "n_tokens", "ids"))
-        rows = []
-        for number, sequence in enumerate(pack_group(lengths, capacity)):
-            at = 0
-            for i, start, n in sequence:
-                piece = np.frombuffer(ids[i], "<u2", n, 2 * start).astype("<u4").tobytes()
-                rows.append((docs[i], start, n, zlib.crc32(piece), lengths[i], (group << 32) + number, at, piece if with_ids else None))
-                at += n
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
+def _pack(capacity: int, with_ids: bool, group_docs: int, group_tokens: int):
+    def run(batches):
+        place, made, held, tokens = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def close(group):
+            nonlocal made
+            rows = []
+            for sequence in pack_group([n for _, n, _ in group], capacity):
+                at = 0
+                for i, start, n in sequence:
+                    doc, whole, ids = group[i]
+                    piece = np.frombuffer(ids, "<u2", n, 2 * start).astype("<u4").tobytes()
+                    rows.append((doc, start, n, zlib.crc32(piece), whole, place + made, at, piece if with_ids else None))
+                    at += n
+                made += 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(row)
+                tokens += row[1]
+                # half a group more is held, so that what is left at the end is never a small group
+                if 2 * len(held) >= 3 * group_docs or 2 * tokens >= 3 * group_tokens:
+                    n = total = 0
+                    while n < group_docs and total < group_tokens:
+                        total += held[n][1]
+                        n += 1
+                    yield close(held[:n])
+                    held, tokens = held[n:], tokens - total
+        if held:
+            yield close(held)
+        trim()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = LENGTH, end_id: int = 1, group_docs: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = LENGTH, end_id: int = 1, group_docs: int = GROUP_DOCS, group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most `capacity` tokens; a row per piece.
 
-    tokenizer: path of a vocabulary of fewer than 65536 ids that drops white space and never joins across it. Each
-    document is its ids and end_id; a null or empty text is end_id alone. Every id lies in one piece, and offsets in a
-    sequence have no gaps. Groups hold about group_docs documents, by a hash of id and length. Rows that repeat an id
-    are packed each; a null id stays null. An empty table gives no rows. Other columns are not read.
+    tokenizer: path of a vocabulary that drops white space and never joins across it; ids of 65536 or more raise a
+    ValueError. Each document is its ids and end_id; a null or empty text is end_id alone. Every id lies in one piece, and
+    offsets in a sequence have no gaps. Groups hold about group_docs documents or group_tokens tokens, whichever is less.
+    Rows that repeat an id are packed each; a null id stays null. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    groups = max(1, -(-rows.count() // group_docs))
+    with cleaned(docs.sparkSession):
+        parts = max(1, min(1 << 17, -(-rows.count() // (2 * group_docs))))
     tokens = rows.mapInArrow(_tokenise(tokenizer, end_id), "doc_id long, n_tokens long, ids binary")
-    dealt = tokens.withColumn("g", F.pmod(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), F.lit(groups)))
-    # as many partitions as the groups need, whatever the session's setting: a task holds one group at a time
-    dealt = dealt.repartition(max(1, min(1 << 17, groups // 2)), "g")
+    # dealt in turn, so neither equal rows nor any key meet in a task; the order there is that of a hash
+    dealt = tokens.repartition(parts).sortWithinPartitions(F.xxhash64("doc_id", "n_tokens", F.crc32("ids")), "doc_id", "n_tokens", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    out = dealt.groupBy("g").applyInArrow(_pack(capacity, with_ids), schema)
+    out = dealt.mapInArrow(_pack(capacity, with_ids, group_docs, group_tokens), schema)
     return out if with_ids else out.drop("ids")

@@ -68,5 +68,35 @@ def test_pieces_hold_the_tokenizers_ids(spark):
     assert sum(r.length for r in got) == sum(len(w[1]) for w in want)
 
 
+def test_equal_rows_are_dealt_evenly_in_bounded_groups(spark):
+    from pyspark.sql import functions as F
+
+    same = "the same text in very many rows " * 3
+    df = spark.createDataFrame([(None, same)] * 3000 + [(7, same)] * 1000, "doc_id long, text string").repartition(3)
+    out = packing.pack(df, PATH, group_docs=100)
+    tasks = [r.n for r in out.groupBy(F.shiftright("sequence_id", 32).alias("task")).agg(F.sum("length").alias("n")).collect()]
+    assert len(tasks) == 20 and max(tasks) < 1.2 * min(tasks)
+    fills = [r.n for r in out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert max(fills) <= 2048 and len(fills) <= sum(fills) / 2048 + 3 * 20
+    assert sum(tasks) == 4000 * len([*Tokenizer.from_file(PATH).encode(same, add_special_tokens=False).ids, 1])
+
+
+def test_groups_are_bounded_by_tokens(spark):
+    df = spark.createDataFrame([(i, "a b c d e f g h " * 500) for i in range(40)], "doc_id long, text string")
+    few = packing.pack(df, PATH, group_tokens=9000).collect()
+    by_seq = {}
+    for r in few:
+        by_seq.setdefault(r.sequence_id, set()).add(r.doc_id)
+    # documents of about 4,000 tokens in groups of two or three, so no sequence mixes more
+    assert max(map(len, by_seq.values())) <= 4 and sum(r.length for r in few) == 40 * 4001
+
+
+def test_vocabularies_beyond_the_stored_width_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        packing._tokenise(PATH, 1 << 16)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
