@@ -293,6 +293,16 @@ def _with_sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
+def _each_once(lists: list[list[int]]):
+    """The members of all lists, one by one, as long as they are asked for."""
+    seen = set()
+    for members in lists:
+        for j in members:
+            if j not in seen:
+                seen.add(j)
+                yield j
+
+
 def similar_sets(sets: list[np.ndarray], least: float) -> list[int]:
     """For each of the sorted sets the first one that it is linked to by steps of Jaccard similarity `least` or more.
 
@@ -313,15 +323,28 @@ def similar_sets(sets: list[np.ndarray], least: float) -> list[int]:
         return both / (len(x) + len(y) - both) >= least
 
     known, counts = np.unique(np.concatenate(sets), return_counts=True)
-    index: dict[int, list[int]] = {}
+    # for a shingle the sets that have it among their rarest, by the first of what they are linked to; a set is compared with
+    # those of a group only until one links it, so a large group of near copies takes a comparison or two for each
+    index: dict[int, dict[int, list[int]]] = {}
     for i, s in enumerate(sets):
         rarest = s[np.argsort(counts[np.searchsorted(known, s)], kind="stable")][: len(s) - math.ceil(least * len(s) - 1e-9) + 1].tolist()
-        for j in dict.fromkeys(j for h in rarest for j in index.get(h, ())):
-            a, b = top(i), top(j)
-            if a != b and near(s, sets[j]):
+        groups: dict[int, list[list[int]]] = {}
+        for h in rarest:
+            by = index.get(h, {})
+            for r in [r for r in by if root[r] != r]:
+                moved = by.pop(r)
+                by.setdefault(top(r), []).extend(moved)
+            for r, members in by.items():
+                groups.setdefault(r, []).append(members)
+        for r, lists in groups.items():
+            if top(r) == top(i):
+                continue
+            linked = next((j for j in _each_once(lists) if near(s, sets[j])), None)
+            if linked is not None:
+                a, b = top(i), top(linked)
                 root[max(a, b)] = min(a, b)
         for h in rarest:
-            index.setdefault(h, []).append(i)
+            index.setdefault(h, {}).setdefault(top(i), []).append(i)
     return [top(i) for i in range(len(sets))]
 
 

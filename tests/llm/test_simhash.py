@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -141,3 +142,18 @@ def test_slack_links_all_that_is_within_the_radius():
     for x, y in simhash.shard_links(members, 10, 4):
         label[top(x)] = top(y)
     assert all(top(x) == top(y) for x in members for y in members if (x ^ y).bit_count() <= 10)
+
+
+def test_large_group_of_near_copies_takes_few_comparisons(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 60, 200, np.uint64)
+    sets = []
+    for _ in range(3000):
+        s = base.copy()
+        s[rng.integers(0, 200, 5)] = rng.integers(0, 1 << 60, 5, np.uint64)
+        sets.append(np.unique(s))
+    sets += [np.unique(rng.integers(0, 1 << 60, 200, np.uint64)) for _ in range(200)]
+    count, plain = [0], np.intersect1d
+    monkeypatch.setattr(simhash.np, "intersect1d", lambda *a, **k: count.__setitem__(0, count[0] + 1) or plain(*a, **k))
+    tops = simhash.similar_sets(sets, 0.8)
+    assert set(tops[:3000]) == {0} and tops[3000:] == list(range(3000, 3200)) and count[0] < 10_000
