@@ -2,14 +2,14 @@
 
 A window is a string of `least` (50) bytes. Each window names one of its own 32-byte strings as its seed by its content
 alone (a mod-minimiser), so equal windows name equal seeds; windows in a row with one seed form a segment. Segments are
-dealt by seed. Equal segments are settled by their digests; different segments of one seed from different documents
-may still share windows, and these go, as text, to two-stage suffix sorting: suffixes smaller than their successors
-are sorted directly, the rest is induced by scans of the buckets, and adjacent common prefixes of at least 50 bytes
-show equal windows. What is removed goes back to the documents by id.
+dealt by seed. What documents share lies in segments of seeds that they share, so only those go, as text, to two-stage
+suffix sorting: suffixes smaller than their successors are sorted directly, the rest is induced by scans of the buckets,
+and adjacent common prefixes of at least 50 bytes show equal windows. What is removed goes back to the documents by id.
 
-Per seed about 17 bytes travel for every 16 bytes of text, packed into a row per task and bucket; equal segments are
-merged before the shuffle. A seed that more than hot_seed different segments share is dealt by whole windows instead,
-which changes the path of its segments and not what is removed.
+Per seed about 17 bytes travel for every 16 bytes of text, packed into a row per task and bucket. Segments that are equal
+byte by byte are merged in the 8 MB of text that a task looks at together. Where over 64 of those still hold a segment, the
+further ones are settled by its 64-bit digest and not sorted, so that no task gets one segment from all of them; and a seed
+that more than hot_seed segments share is dealt by whole windows. Both change the path and not what is removed.
 
 A row is addressed by its id and a 64-bit hash of its text; rows without an id by 126 bits of it. So rows that share an
 id, or have none, lie in different buckets unless their texts are equal too, and then the same holds for all of them.
@@ -34,6 +34,7 @@ SPREAD = LEAST - SEED_BYTES + 1  # seeds a window can choose from
 ANCHOR = 13  # bytes whose smallest hash decides; equal to SEED_BYTES modulo SPREAD
 PIECE = 1 << 19
 HOT_SEED = 4096
+MOST_EQUAL = 64
 LAST = np.iinfo(np.int64).max  # the rank of a null id: never smaller than another
 MOST_PARTS = 1 << 17
 END = 0xFF  # no byte of UTF-8
@@ -189,15 +190,32 @@ def _first_docs(seed, digest, doc):
     return order, doc[order][starts][group] if len(order) else doc
 
 
+def _equal(raw: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether segments of m and n windows at a and at b are the same bytes."""
+    same = m == n
+    where = np.flatnonzero(same)
+    for at in range(0, len(where), 1 << 15):
+        w = where[at : at + (1 << 15)]
+        size = m[w].astype(np.int64) + LEAST - 1
+        alike = raw[ranges(a[w], size)] == raw[ranges(b[w], size)]
+        same[w] = np.logical_and.reduceat(alike, np.cumsum(size) - size)
+    return same
+
+
 def _seeds(buckets: int, flush: int = 8 << 20):
     """Seeds by bucket; of equal segments met here only those of the smallest document go on, the rest is removed."""
 
     def close(heads, held):
         docs, tags = (np.concatenate([h[k] for h in heads]) for k in (0, 1))
         which, at, n, seed, digest = (np.concatenate([h[k] for h in held]) for k in range(5))
+        sizes = np.array([len(h[6]) for h in held])
+        place = np.concatenate([h[5] + base for h, base in zip(held, (np.cumsum(sizes) - sizes).tolist(), strict=True)])
         doc, tag = docs[which], tags[which]
         order, least = _first_docs(seed, digest, rank(doc, tag))
-        gone = order[rank(doc, tag)[order] > least]
+        later = rank(doc, tag)[order] > least
+        first = order[np.maximum.accumulate(np.where(np.concatenate([[True], (seed[order][1:] != seed[order][:-1]) | (digest[order][1:] != digest[order][:-1])]), np.arange(len(order)), 0))]
+        gone, like = order[later], first[later]
+        gone = gone[_equal(np.concatenate([h[6] for h in held]), place[gone], n[gone], place[like], n[like])]
         stay = np.ones(len(doc), bool)
         stay[gone] = False
         yield from _rows(list(_mark_rows(doc[gone], tag[gone], at[gone], n[gone], buckets)))
@@ -241,12 +259,13 @@ def _seeds(buckets: int, flush: int = 8 << 20):
 
 
 def _found(pieces):
-    """Segments of (document's number, offset, bytes) pieces, with offsets in their documents."""
+    """Segments of (document's number, offset, bytes) pieces, with offsets in their documents; where they lie in the bytes."""
     lengths = np.array([len(p[2]) for p in pieces])
     starts = np.cumsum(lengths) - lengths
-    text, first, n, seed, digest = segments(np.frombuffer(b"".join(p[2] for p in pieces), np.uint8), starts, lengths)
+    flat = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    text, first, n, seed, digest = segments(flat, starts, lengths)
     which, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-    return which[text], first - starts[text] + offset[text], n, seed, digest
+    return which[text], first - starts[text] + offset[text], n, seed, digest, first, flat
 
 
 def _by_bucket(batches):
@@ -264,7 +283,7 @@ def _by_bucket(batches):
 
 
 def _settle(buckets: int, hot_seed: int):
-    """Equal segments settled; segments of a seed that different documents still share, as candidates."""
+    """Segments of a seed that different documents share, as candidates."""
 
     def run(batches):
         for kind, bucket, blobs in _by_bucket(batches):
@@ -274,7 +293,8 @@ def _settle(buckets: int, hot_seed: int):
             doc, tag, seed, digest, at, n = unpack_docs(blobs, SEED)
             by = rank(doc, tag)
             order, least = _first_docs(seed, digest, by)
-            gone = by[order] > least
+            same = _groups(seed[order], digest[order]) if len(order) else order
+            gone = (by[order] > least) & (np.arange(len(order)) - np.searchsorted(same, same) >= MOST_EQUAL)
             out = list(_mark_rows(*(x[order[gone]] for x in (doc, tag, at, n)), buckets))
             rest = order[~gone]
             if len(rest):
@@ -398,7 +418,13 @@ def suffix_array(flat: np.ndarray) -> np.ndarray:
     for k in range(0, DEPTH, 8):
         at = order[todo] + k
         key = np.where(at < n, words[np.minimum(at, n - 1)], np.uint64(0))
-        by = np.lexsort((key, group[todo])) if k else np.argsort(key, kind="stable")
+        by = np.argsort(key)
+        if k:
+            # by group and then by word: two sorts of plain integers are faster than one of pairs
+            change = np.concatenate([[0], key[by][1:] != key[by][:-1]]) if len(by) else by
+            place = np.empty(len(by), np.int64)
+            place[by] = np.cumsum(change)
+            by = np.argsort(group[todo] << 32 | place)
         order[todo], key, held = order[todo][by], key[by], group[todo][by]
         change = np.concatenate([[True], (key[1:] != key[:-1]) | (held[1:] != held[:-1])]) if len(by) else np.zeros(0, bool)
         group[todo] = todo[np.maximum.accumulate(np.where(change, np.arange(len(by)), 0))] if len(by) else group[todo]
@@ -486,8 +512,12 @@ def _compare(buckets: int, chunk: int = 1 << 20):
                 b = b if b > a else int(edges[np.searchsorted(edges, a, side="right")])
                 rows = order[a:b]
                 seg, step = repeated_windows(raw[ranges(starts[rows], lengths[rows])], rank(doc[rows], tag[rows]), n[rows])
-                hit = rows[seg]
-                yield from _rows(list(_mark_rows(doc[hit], tag[hit], at[hit] + step, np.ones(len(hit), np.int64), buckets)))
+                by = np.lexsort((step, seg))
+                seg, step = seg[by], step[by]
+                # windows in a row are one entry
+                begin = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (step[1:] != step[:-1] + 1)])) if len(seg) else seg
+                hit = rows[seg[begin]]
+                yield from _rows(list(_mark_rows(doc[hit], tag[hit], at[hit] + step[begin], np.diff(np.append(begin, len(seg))), buckets)))
                 a = b
         trim()
 

@@ -90,6 +90,22 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, len(base), 0, 0), (2, len(base) - 700_000 + 1, len(base) - 700_000, 1), (3, 100, 100, 1)]
 
 
+def test_equal_segments_are_told_by_their_bytes():
+    raw = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 59 + b"c" + b"b" * 60, np.uint8)
+    a, b, n = np.array([0, 60, 0, 120, 0]), np.array([120, 180, 120, 0, 120]), np.array([11, 11, 10, 10, 11], np.uint8)
+    assert sd._equal(raw, a, n, b, np.array([11, 11, 10, 11, 10], np.uint8)).tolist() == [False, True, True, False, False]
+    assert sd._equal(raw, a[:0], n[:0], b[:0], n[:0]).tolist() == []
+
+
+def test_passage_in_more_places_than_are_sorted(spark):
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    rows = [(i, f"{i} {passage} {i * 7}") for i in range(3 * sd.MOST_EQUAL)]
+    # a task for each, so none are merged before
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows))
+    assert sorted((tuple(r) for r in sd.digests(df).collect()), key=str) == brute(rows)
+
+
 def test_many_rows_without_an_id_and_equal_checksums(spark):
     long = "some words that two of these texts share, and which are more than fifty bytes long; "
     # texts of one CRC-32 and different lengths, all with the same id or none
