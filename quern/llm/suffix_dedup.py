@@ -1,13 +1,13 @@
 """Suffix-array dedup of repeated byte strings (operator 9).
 
-A window is a string of `least` (50) bytes. Each window names one of its own 32-byte strings as its seed by its content
-alone (a mod-minimiser), so equal windows name equal seeds; windows in a row with one seed form a segment. Segments are
+A window is a string of `least` (50) bytes. Each window names one of its own 20-byte strings as its seed by its content
+alone (a minimiser), so equal windows name equal seeds; windows in a row with one seed form a segment. Segments are
 dealt by seed. What documents share lies in segments of seeds that they share, so only those go, as text, to two-stage
 suffix sorting: suffixes smaller than their successors are sorted directly, the rest is induced by scans of the buckets,
 and adjacent common prefixes of at least 50 bytes show equal windows. What is removed goes back to the documents by id.
 
-Per seed about 17 bytes travel for every 16 bytes of text, packed into a row per task and bucket. Segments that are equal
-byte by byte are merged in the 8 MB of text that a task looks at together. Where over 64 of those still hold a segment, the
+About 17 bytes travel for every 15 bytes of text, packed into a row per task and bucket. Segments that are equal
+byte by byte are merged in the 8 MB of text that a task looks at together. Where over four of those still hold a segment, the
 further ones are settled by its 64-bit digest and not sorted, so that no task gets one segment from all of them; and a seed
 that more than hot_seed segments share is dealt by whole windows. Both change the path and not what is removed.
 
@@ -29,12 +29,12 @@ from pyspark.sql import types as T
 from .shared import cleaned, discard, ranges, small_batches, trim, written
 
 LEAST = 50
-SEED_BYTES = 32
+SEED_BYTES = 20
 SPREAD = LEAST - SEED_BYTES + 1  # seeds a window can choose from
-ANCHOR = 13  # bytes whose smallest hash decides; equal to SEED_BYTES modulo SPREAD
+ANCHOR = 20  # bytes whose smallest hash decides; equal to SEED_BYTES modulo SPREAD
 PIECE = 1 << 19
 HOT_SEED = 4096
-MOST_EQUAL = 64
+MOST_EQUAL = 4
 LAST = np.iinfo(np.int64).max  # the rank of a null id: never smaller than another
 MOST_PARTS = 1 << 17
 END = 0xFF  # no byte of UTF-8
@@ -63,8 +63,13 @@ def mix(*columns: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _words(size: int) -> tuple[int, ...]:
+    """Where to read words of 8 bytes that cover so many bytes."""
+    return *range(0, size - 8, 8), size - 8
+
+
 def window_hash(w8: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(*(w8[at + k] for k in (*range(0, LEAST - 8, 8), LEAST - 8)))
+    return mix(*(w8[at + k] for k in _words(LEAST)))
 
 
 def segments(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
@@ -76,7 +81,7 @@ def segments(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     w8 = words_at_every_byte(flat)
     # the smallest anchor of each window, the leftmost among equals: position in the low bits
     anchors = n - ANCHOR + 1
-    best = (mix(w8[:anchors], w8[ANCHOR - 8 : ANCHOR - 8 + anchors]) & ~np.uint64((1 << 26) - 1)) | np.arange(anchors, dtype=np.uint64)
+    best = (mix(*(w8[k : k + anchors] for k in _words(ANCHOR))) & ~np.uint64((1 << 26) - 1)) | np.arange(anchors, dtype=np.uint64)
     span, width = LEAST - ANCHOR + 1, 1
     while width * 2 <= span:
         best = np.minimum(best[:-width], best[width:])
@@ -97,7 +102,7 @@ def segments(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     size = ends - first + 1
     text = np.searchsorted(starts, first, side="right") - 1
     s = seed[first]
-    return text, first, size, mix(w8[s], w8[s + 8], w8[s + 16], w8[s + 24]), mix(window_hash(w8, first), window_hash(w8, ends), size.astype(np.uint64))
+    return text, first, size, mix(*(w8[s + k] for k in _words(SEED_BYTES))), mix(window_hash(w8, first), window_hash(w8, ends), size.astype(np.uint64))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -492,7 +497,7 @@ def repeated_windows(raw: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[n
     return which[hit], hit - starts[which[hit]]
 
 
-def _compare(buckets: int, chunk: int = 1 << 20):
+def _compare(buckets: int, chunk: int = 1 << 18):
     """Windows that segments of one key share, key by key in chunks of bounded size."""
 
     def run(batches):
